@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annals.llm import near_dedup
+from annals.llm import near_dedup, quality_rules
 from annals.session import table
 
 
@@ -10,5 +10,9 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.link(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_rules)}
 ORACLES: dict[str, str] = {}
