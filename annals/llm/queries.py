@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from annals.llm import near_dedup, quality_rules
+from pyspark.sql import functions as F
+
+from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec
 from annals.session import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def digest(rows):
+    """doc_id, n_tokens and the two digests of rows with ids and decoded."""
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op1_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(sentencepiece_codec.roundtrip(docs, _tokenizer("piece_bpe_32k.model")))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.link(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -14,5 +38,9 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_rules)}
+def op10_mixing(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op10_mixing)}
 ORACLES: dict[str, str] = {}
