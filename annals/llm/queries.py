@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec
+from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables
 from annals.session import table
 
 
@@ -38,9 +38,15 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_token_tables(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest, folder = token_tables.written(docs, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_tables.read(manifest, folder)
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op5_token_tables, op10_mixing)}
 ORACLES: dict[str, str] = {}

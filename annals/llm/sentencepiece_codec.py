@@ -187,7 +187,7 @@ class Codec:
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         made, back = self.normalizer.normalize(text)
         if self.has_unknown:  # an unknown piece may be of any length: ask for surfaces
-            found = self.raw.encode(made.decode("utf-8", "replace"), out_type="immutable_proto")
+            found = self.raw.encode(made.decode("utf-8", "replace"), return_type="proto")
             ids = np.array([p.id for p in found.pieces], np.int64)
             ends = np.cumsum([len(p.surface.encode()) for p in found.pieces], dtype=np.int64)
         else:
