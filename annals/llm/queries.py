@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables
+from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables, topk, warc
+from annals.llm.common import saved
 from annals.session import table
 
 
@@ -38,15 +39,28 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    _, index, folder = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = saved(warc.read(warc.scan_index(index, folder), folder).drop("payload"), "records")
+    whole = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    revisit = found.where("record_type = 'revisit'").join(whole, (found["refers_to"] == whole["refers_to"]) & (F.col("payload_digest") == F.col("d"))).select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", found["refers_to"])
+    response = found.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("computed").alias("payload_digest"), "record_type", "refers_to")
+    return response.unionByName(revisit)
+
+
 def op5_token_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest, folder = token_tables.written(docs, _tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_tables.read(manifest, folder)
 
 
+def op6_topk(spark, sf_dir):
+    return topk.join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op5_token_tables, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op4_warc, op5_token_tables, op6_topk, op10_mixing)}
 ORACLES: dict[str, str] = {}
