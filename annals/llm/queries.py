@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annals.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables, topk, toxicity, warc
+from annals.llm import maxent_lm, mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables, topk, toxicity, warc
 from annals.llm.common import saved
 from annals.session import table
 
@@ -58,6 +58,10 @@ def op6_topk(spark, sf_dir):
     return topk.join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op7_maxent_lm(spark, sf_dir):
+    return maxent_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES))
@@ -67,5 +71,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op4_warc, op5_token_tables, op6_topk, op8_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op4_warc, op5_token_tables, op6_topk, op7_maxent_lm, op8_toxicity, op10_mixing)}
 ORACLES: dict[str, str] = {}
