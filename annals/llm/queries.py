@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annals.llm import maxent_lm, mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables, topk, toxicity, warc
+from annals.llm import html_main_text, maxent_lm, mixing, near_dedup, quality_rules, sentencepiece_codec, token_tables, topk, toxicity, warc
 from annals.llm.common import saved
 from annals.session import table
 
@@ -67,9 +67,13 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES))
 
 
+def op9_html_main_text(spark, sf_dir):
+    return html_main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op4_warc, op5_token_tables, op6_topk, op7_maxent_lm, op8_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op3_quality_rules, op4_warc, op5_token_tables, op6_topk, op7_maxent_lm, op8_toxicity, op9_html_main_text, op10_mixing)}
 ORACLES: dict[str, str] = {}
