@@ -212,6 +212,6 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each group stays; columns as before."""
-    keep = link(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
+    """The documents of which one of each group stays; columns as before, rows with a null id stay."""
+    gone = link(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")

@@ -9,26 +9,27 @@ from annals.llm.common import saved
 from annals.session import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def digest(rows):
-    """doc_id, n_tokens and the two digests of rows with ids and decoded."""
+def digest(rows, *more: str):
+    """doc_id, n_tokens and the two digests of rows with ids and decoded, then more of their columns."""
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
 def op1_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(sentencepiece_codec.roundtrip(docs, _tokenizer("piece_bpe_32k.model")))
+    return digest(sentencepiece_codec.roundtrip(docs, tokenizer("piece_bpe_32k.model")))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
@@ -50,7 +51,7 @@ def op4_warc(spark, sf_dir):
 
 def op5_token_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest, folder = token_tables.written(docs, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    manifest, folder = token_tables.written(docs, tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_tables.read(manifest, folder)
 
 
