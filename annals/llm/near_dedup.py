@@ -9,9 +9,11 @@ threshold are dropped, all others are confirmed on their full shingle sets.
 Sizes. Equal sets are folded into one representative first (a partial minimum, whatever the number
 of copies). A bucket of a band is first linked through its smallest member: n - 1 candidates. Only
 where a bucket still holds texts of several components after these are confirmed, its members are
-compared block by block (packed signatures only, ``BLOCK`` members a side), and just the pairs of
-different components that pass the estimate are confirmed. No bucket is capped and no pair
-dropped: every pair that shares a bucket is linked, confirmed or known to be in one component.
+compared block by block (packed signatures only, ``BLOCK`` members a side). Pairs of different
+components that pass the estimate are listed by the text of the smaller component, one row for each
+block of ``HOME`` shingles that its candidates lie in, and confirmed there, so that no set is sent once a
+pair. No bucket is capped and no pair dropped: every pair that shares a bucket is linked, compared on
+full sets or known to be in one component.
 At the threshold a pair shares no band with probability (1 - s**ROWS)**BANDS (4e-7 at 0.85, 3e-5 at 0.8).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
@@ -63,9 +65,6 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key
 
 
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-
-
 def equal_positions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a: (n, bytes), b: (m, bytes) of packed signatures -> (n, m) numbers of equal positions.
 
@@ -117,15 +116,16 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles array<long>) of whole texts."""
+    """(doc_id, set_key, shingles array<long>) of whole texts."""
 
     def run(it):
         for big in it:
             for batch in batches_of(big, 512):
                 sets = shingle_sets(batch.column("text"), n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                keys = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.string()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set_key", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key string, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,38 +136,114 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-_MEMBER = "band int, key long, left int, right int, side int, doc_id long, component long, n_shingles long, bands array<long>, sig binary"
-
+def _candidates(percent: int):
+    """Of two blocks of one bucket: for each text the ids of those of other components that pass size and estimate.
 
-def _block_pairs(percent: int):
-    """Pairs of different components in two blocks of one bucket that pass size and estimate, each in its first common band."""
+    A pair is reported in the first band it shares, by its text of the smaller component, as (doc_id, family block of the others, ids).
+    """
     floor = least_equal(percent / 100)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        ids, comp, size, many, home = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "comp_size", "home"))
         side = table.column("side").to_numpy()
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         sig = np.array([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
-        band = table.column("band")[0].as_py()
-        one = np.flatnonzero(side != 1)
-        two = np.flatnonzero(side != 0)
-        found = []
+        band, same = table.column("band")[0].as_py(), table.column("left")[0].as_py() == table.column("right")[0].as_py()
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        lows, highs = [], []
         for at in range(0, len(one), 256):
             rows = one[at : at + 256]
-            ok = (equal_positions(sig[rows], sig[two]) >= floor) & (comp[rows][:, None] != comp[two][None, :]) & (ids[rows][:, None] < ids[two][None, :] if table.column("left")[0].as_py() == table.column("right")[0].as_py() else True)
+            ok = comp[rows][:, None] != comp[two][None, :]
+            if same:
+                ok &= ids[rows][:, None] < ids[two][None, :]
             ok &= np.minimum(size[rows][:, None], size[two][None, :]) * 100 >= percent * np.maximum(size[rows][:, None], size[two][None, :])
+            if ok.any():
+                ok &= equal_positions(sig[rows], sig[two]) >= floor
             i, j = np.nonzero(ok)
             if band and len(i):
                 fresh = ~(bands[rows[i]][:, :band] == bands[two[j]][:, :band]).any(axis=1)
                 i, j = i[fresh], j[fresh]
-            found.append((ids[rows[i]], ids[two[j]]))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            lows.append(rows[i])
+            highs.append(two[j])
+        a, b = np.concatenate([*lows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*highs, np.zeros(0, np.int64)]).astype(np.int64)
+        swap = (many[a] > many[b]) | ((many[a] == many[b]) & (ids[a] < ids[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.lexsort((ids[b], home[b], ids[a]))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (ids[a][1:] != ids[a][:-1]) | (home[b][1:] != home[b][:-1])
+        first = np.flatnonzero(new)
+        offsets = np.append(first, len(a)).astype(np.int32)
+        return pa.table({"a": pa.array(ids[a][first], pa.int64()), "home": pa.array(home[b][first], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[b], pa.int64()))})
+
+    return run
+
+
+def _joined(percent: int):
+    """Links between components among a family block's members (left) and their candidates (right), on full sets.
+
+    Only links that join two components not yet joined here are given, and pairs already joined aren't compared.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = dict(zip(left.column("doc_id").to_pylist(), (np.array(x.values).view(np.uint64) for x in left.column("shingles").combine_chunks()))) if left.num_rows else {}
+        comp = dict(zip(left.column("doc_id").to_pylist(), left.column("component").to_pylist()))
+        top: dict[int, int] = {}
+
+        def find(x):
+            while top.get(x, x) != x:
+                top[x] = x = top.get(top[x], top[x])
+            return x
+
+        found_a, found_b = [], []
+        for a, c, mine, others in zip(right.column("a").to_pylist(), right.column("own").to_pylist(), right.column("mine").combine_chunks() if right.num_rows else [], right.column("ids").to_pylist()):
+            mine = np.array(mine.values).view(np.uint64)  # in which order sets are sorted
+            for at in range(0, len(others), 256):
+                rest = [b for b in others[at : at + 256] if find(comp[b]) != find(c)]
+                if not rest:
+                    continue
+                flat = np.concatenate([sets[b] for b in rest])
+                sizes = np.array([len(sets[b]) for b in rest])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                for b, i, n in zip(rest, both.tolist(), sizes.tolist()):
+                    if i * (100 + percent) >= percent * (n + len(mine)) and find(comp[b]) != find(c):
+                        top[find(comp[b])] = find(c)
+                        found_a.append(a)
+                        found_b.append(b)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return run
 
 
+#: Shingles in a family block, and candidates compared with one copy of it.
+HOME, CHUNK = 1 << 18, 2048
+
+
+def _rest(members: DataFrame, label: DataFrame, chief: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between texts of different components of label that share a bucket."""
+    tagged = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_buckets = tagged.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
+    rest = saved(tagged.join(open_buckets, ["band", "key"], "left_semi").select("band", "key", "doc_id", "hub", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    # each text once, with its component's size and its block in its family (the texts of one smallest hub)
+    texts = rest.groupBy("doc_id").agg(F.min("hub").alias("family"), F.min("component").alias("component")).join(chief, "doc_id")
+    family = texts.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HOME).alias("homes"))
+    texts = texts.join(family, "family").join(texts.groupBy("component").agg(F.count("*").alias("comp_size")), "component")
+    texts = saved(texts.withColumn("home", F.xxhash64("family", F.pmod(F.xxhash64("doc_id"), F.col("homes")))).drop("family", "homes"), "families")
+    rest = rest.drop("hub", "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a member of block k goes to the pairs (k, j) and (j, k); side 2: both blocks are one
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.select("band", "key", "doc_id", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.expr("case when block = other then 2 when block < other then 0 else 1 end").alias("side"))
+    rest = rest.join(texts, "doc_id").select("band", "key", "left", "right", "side", "doc_id", "component", "comp_size", "home", "n_shingles", "bands", "sig")
+    found = rest.groupBy("band", "key", "left", "right").applyInArrow(_candidates(percent), "a long, home long, ids array<long>")
+    found = saved(found.groupBy("a", "home").agg(F.flatten(F.collect_list("ids")).alias("ids")), "candidates")
+    chunks = found.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    whole = sets.join(texts.select("doc_id", "component", "home"), "doc_id")
+    left = whole.join(chunks, "home").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select("home", "chunk", "doc_id", "component", "shingles")
+    right = found.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).join(whole.select(F.col("doc_id").alias("a"), F.col("component").alias("own"), F.col("shingles").alias("mine")), "a").select(F.col("home").alias("home2"), F.col("chunk").alias("chunk2"), "a", "own", "mine", "ids")
+    return left.groupBy("home", "chunk").cogroup(right.groupBy("home2", "chunk2")).applyInArrow(_joined(percent), "a long, b long")
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document id; see the module for the method.
 
@@ -184,7 +260,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     hubs = spread.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = saved(spread.join(hubs, ["band", "key"]).select("band", "key", "doc_id", "hub", "n"), "buckets")
     wanted = members.select("doc_id").distinct()
-    sets = saved(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    if sigs.count() != once.count():  # of repeated ids, the text that once has
+        sets = sets.join(once.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
+    sets = saved(sets.drop("set_key"), "sets")
     size = chief.select("doc_id", "n_shingles")
     star = (
         members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -195,16 +274,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     found = saved(_confirmed(star, sets, percent), "links")
     label = components(found)
-    tagged = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = tagged.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    rest = tagged.join(open_buckets, ["band", "key"], "left_semi").select("band", "key", "doc_id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a member of block k goes to the pairs (k, j) and (j, k); side 2: both blocks are one
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("band", "key", "doc_id", "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.expr("case when block = other then 2 when block < other then 0 else 1 end").alias("side"))
-    rest = rest.join(chief, "doc_id").select("band", "key", "left", "right", "side", "doc_id", "component", "n_shingles", "bands", "sig")
-    pairs = rest.groupBy("band", "key", "left", "right").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-    more = saved(_confirmed(pairs, sets, percent), "links")
+    more = saved(_rest(members, label, chief, sets, percent), "links")
     final = components(found.unionByName(more)) if not more.isEmpty() else label
     named = rows.select("doc_id", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = once.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
