@@ -6,7 +6,7 @@ each comes from models that did not see the row. The last category decides; its
 the one with the best F1 on out-of-fold predictions.
 
 Bounds: models are fitted on at most LABELLED labelled rows (those of smallest id hash) and WORDS words a category (by
-the z-score of their document counts, at least LEAST documents); these two are the only things the driver
+the z-score of their document counts, LEAST_Z at least, in at least LEAST documents); these two are the only things the driver
 holds. Word counts over the labelled rows are made by a partial aggregation. Every document is scored in
 full, in one pass without a shuffle.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from annals.llm.common import batches_of, saved
 
-LABELLED, WORDS, LEAST, FOLDS, STEPS, RIDGE = 10_000, 1024, 5, 5, 60, 1.0
+LABELLED, WORDS, LEAST, LEAST_Z, FOLDS, STEPS, RIDGE = 10_000, 1024, 5, 4.0, 5, 60, 1.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     for name in names:
         rate = total[name] / max(1, total["n"])
         z = F.abs(F.col(name) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate) + 1e-9))
-        words += [r.word for r in counts.orderBy(F.desc(z), "word").limit(WORDS).select("word").collect()]
+        words += [r.word for r in counts.where(z >= LEAST_Z).orderBy(F.desc(z), "word").limit(WORDS).select("word").collect()]
     words = sorted(set(words))
     index = {w: i for i, w in enumerate(words)}
 
