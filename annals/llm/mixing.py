@@ -100,7 +100,8 @@ def slots(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
 def _pieces(placed: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     """placed's rows with words, one for each block they lie in and pass that takes it: lo, hi, taken (a part's words within the document)."""
     spread = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    both = spread.join(drawn, ["skey", "block"], "left")
+    # the planner takes the exploded slots for few rows, but they grow with the input: not to be broadcast
+    both = spread.join(drawn.hint("merge"), ["skey", "block"], "left")
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("words", F.lit(0)))
     return both.withColumn("lo", lo - F.col("start")).withColumn("taken", F.greatest(hi - lo, F.lit(0)))
