@@ -98,12 +98,45 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+#: Bytes of text hashed at once; a longer word is hashed whole.
+PIECE = 1 << 19
+
+
+def _piece_ends(data: np.ndarray, offsets: np.ndarray):
+    """Ends of pieces of about PIECE bytes, each where a text ends or before white space."""
+    at, n = 0, len(data)
+    while at < n:
+        end = at + PIECE
+        if end < n:
+            most = int(offsets[np.searchsorted(offsets, end)])
+            while end < most:
+                blank = np.flatnonzero(~IS_WORD[data[end : min(most, end + PIECE)]])
+                if len(blank):
+                    end += int(blank[0])
+                    break
+                end = min(most, end + PIECE)
+        at = min(n, end)
+        yield at
+
+
 def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words in order, offsets of each text's words); A-Z count as a-z if lower."""
     data, offsets = text_buffers(texts)
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    found, places, at = [], [], 0
+    for end in _piece_ends(data, offsets):
+        inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, side="right")] - at
+        h, starts = _hashed_piece(data[at:end], inside, lower)
+        found.append(h)
+        places.append(starts + at)
+        at = end
+    return np.concatenate(found), np.searchsorted(np.concatenate(places), offsets)
+
+
+def _hashed_piece(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of a piece in which texts start at offsets."""
+    n = len(data)
     word = IS_WORD[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -113,12 +146,11 @@ def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, word[1:]
     ends = np.flatnonzero(word & (~after | cut[1:])) + 1
-    size = 1 << max(16, int(n).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(1 << max(16, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER if lower else AS_IS)[data].astype(np.uint64) * power[:n] + power[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), np.searchsorted(starts, offsets)
+    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), starts
 
 
 SHINGLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,19 @@ def _trie(words: dict[bytes, bytes]) -> bytes:
 # 2: near duplicates
 
 
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    from annals.llm import common
+
+    rng = np.random.default_rng(6)
+    texts = pa.array(["".join(rng.choice(list("abC \n\té"), rng.integers(0, 60))) for _ in range(300)] + ["x" * 500, None, ""])
+    whole = common.hashed_words(texts)
+    monkeypatch.setattr(common, "PIECE", 37)
+    for a, b in zip(whole, common.hashed_words(texts)):
+        assert np.array_equal(a, b)
+    words = [w for t in texts.to_pylist() for w in brute.words((t or "").translate(brute.LOWER))]
+    assert len(set(words)) == len(np.unique(whole[0])) and len(words) == len(whole[0])
+
+
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_are_all_found(spark, small, words, percent):
     docs = table(spark, small, "documents")
