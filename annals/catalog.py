@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from annals.operators import filters, trees, walks  # noqa: F401
+from annals.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
