@@ -132,10 +132,13 @@ def mixed(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float = S
     goal = saved(targets(rows, weights, share, limit), "targets")
     parts = _pieces(_placed(rows), slots(goal, block), block).where("taken > 0")
     parts = parts.groupBy("skey", "start", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "taken"))).alias("ranges"), F.sum("taken").alias("taken"))
-    # equal id, source and size: one text stands for its repeats, which have parts of their own
-    texts = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(F.xxhash64("text")))).where("_n = 1")
-    texts = texts.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], F.col("doc_id").alias("k1"), F.col("skey").alias("k2"), F.col("size").alias("k3"))
-    both = parts.join(texts, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("skey") == F.col("k2")) & (F.col("size") == F.col("k3")))
+    # equal id, source and size: one text stands for its repeats, which have parts of their own; window and join
+    # have the same keys, so that texts are shuffled once
+    keys = ["k0", "k1", "k2", "k3"]
+    keyed = keyed.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("skey").alias("k2"), F.col("size").alias("k3"))
+    texts = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("d_text")))).where("_n = 1").drop("_n")
+    parts = parts.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("skey").alias("k2"), F.col("size").alias("k3"), "size", "ranges", "taken")
+    both = texts.join(parts.hint("merge"), keys)
     cut = F.expr(f"get(transform(array({words_of('d_text')}), w -> array_join(flatten(transform(ranges, r -> slice(w, cast(r.lo + 1 as int), cast(r.taken as int)))), ' ')), 0)")
     text = F.when(F.col("taken") == F.col("size"), F.col("d_text")).otherwise(cut)
     both = both.withColumn("_text", text)
