@@ -182,3 +182,63 @@ def topo_order(spark, sf_dir):
     found = reach(edges(spark, sf_dir), [tips(spark, sf_dir)[0]])
     rows = generations(edges(spark, sf_dir), commits(spark, sf_dir)).join(found, "oid", "left_semi")
     return rows.select("oid", F.row_number().over(Window.orderBy(F.desc("value"), F.desc("oid"))).cast("long").alias("pos"))
+
+
+@query("SELECT DISTINCT b.oid, b.size FROM ra JOIN blobs b ON b.doc_id = ra.oid")
+def object_closure(spark, sf_dir):
+    """Contents that the history of the newest commit holds."""
+    from annals.plans.history import blobs
+
+    found = reach(edges(spark, sf_dir), [tips(spark, sf_dir)[0]]).withColumnRenamed("oid", "doc_id")
+    return blobs(spark, sf_dir).join(found, "doc_id", "left_semi").select("oid", "size").distinct()
+
+
+@query("""f AS (SELECT child, parent FROM edges WHERE nth = 0)
+SELECT c.oid, c.message FROM ra JOIN commits c USING (oid) LEFT JOIN f ON f.child = c.oid LEFT JOIN commits p ON p.oid = f.parent WHERE p.message IS DISTINCT FROM c.message""")
+def path_limited_log(spark, sf_dir):
+    """Reachable commits that differ from their first parent; a root differs from nothing."""
+    e = edges(spark, sf_dir)
+    mine = commits(spark, sf_dir).select("oid", "message").join(reach(e, [tips(spark, sf_dir)[0]]), "oid", "left_semi")
+    first = e.where("nth = 0").select(F.col("child").alias("oid"), "parent")
+    before = commits(spark, sf_dir).select(F.col("oid").alias("parent"), F.col("message").alias("old"))
+    return mine.join(first, "oid", "left").join(before, "parent", "left").where("not message <=> old").select("oid", "message")
+
+
+def parse_revision(text: str) -> tuple[str, list[tuple[str, int]]]:
+    """``u7~3^2`` -> ("u7", [("~", 3), ("^", 2)]); a bare mark counts one."""
+    import re
+
+    m = re.fullmatch(r"([^~^\s]+)((?:[~^]\d*)*)", text)
+    if not m:
+        raise ValueError(f"not a revision: {text!r}")
+    return m[1], [(k, int(n) if n else 1) for k, n in re.findall(r"([~^])(\d*)", m[2])]
+
+
+def resolve(spark, sf_dir, text: str):
+    """(oid) of a revision, no row where a step has no parent; one small job for each step."""
+    name, steps = parse_revision(text)
+    places = [name, f"refs/{name}", f"refs/tags/{name}", f"refs/heads/{name}", f"refs/remotes/{name}"]
+    rank = F.array_position(F.array(*map(F.lit, places)), F.col("name"))
+    at = refs(spark, sf_dir).where(F.col("name").isin(places)).orderBy(rank).limit(1).select("oid")
+    e = edges(spark, sf_dir)
+    for kind, n in steps:
+        if not n:
+            continue
+        if kind == "^":
+            at = e.where(F.col("nth") == n - 1).join(F.broadcast(at), F.col("child") == F.col("oid")).select(F.col("parent").alias("oid"))
+        else:
+            row = at.first()
+            if row is None:
+                return at
+            at = depths(e.where("nth = 0"), [row.oid]).where(F.col("value") == n).select("oid")
+    return at
+
+
+@query("""heads AS (SELECT name, oid FROM refs WHERE name IN ('refs/heads/u7', 'refs/heads/u3')), p1 AS (SELECT name, parent AS oid FROM heads JOIN edges ON child = oid AND nth = 0), p2 AS (SELECT name, parent AS oid FROM p1 JOIN edges ON child = oid AND nth = 0)
+SELECT 'u7' AS revision, oid FROM heads WHERE name = 'refs/heads/u7' UNION ALL SELECT 'heads/u7~2', oid FROM p2 WHERE name = 'refs/heads/u7' UNION ALL SELECT 'u3^', oid FROM p1 WHERE name = 'refs/heads/u3'""")
+def rev_parse(spark, sf_dir):
+    out = None
+    for text in ("u7", "heads/u7~2", "u3^"):
+        one = resolve(spark, sf_dir, text).select(F.lit(text).alias("revision"), "oid")
+        out = one if out is None else out.unionByName(one)
+    return out
