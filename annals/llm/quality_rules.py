@@ -2,13 +2,13 @@
 
 Each text is reduced to five statistics, transformed so that ordinary texts are roughly normal:
 
-==  =========================================  =====
-x1  ln of the mean word length                 floor 0.06
-x2  ln(1 + 10 * symbols a word)                floor 0.1
-x3  share of lines equal to an earlier one     floor 0.1
-x4  share of words in repeated 3-word windows  floor 0.1
-x5  ln(1 + 100 * share of capitals)            floor 0.2
-==  =========================================  =====
+==  =========================================  ==========
+x1  ln of the mean word length                 floor 0.02
+x2  ln(1 + 10 * symbols a word)                floor 0.05
+x3  share of lines equal to an earlier one     floor 0.05
+x4  share of words in repeated 3-word windows  floor 0.05
+x5  ln(1 + 100 * share of capitals)            floor 0.05
+==  =========================================  ==========
 
 For every (language, source), every language and the whole corpus the minimum-covariance-determinant
 location and scatter are estimated: from two deterministic starts (coordinate-wise median and
@@ -16,8 +16,10 @@ mean absolute deviation; plain moments) C-steps are made - keep the SUBSET share
 Mahalanobis distance, take their moments again - and the start that ends with the smaller determinant wins.
 The floors are added to the scatter, as some statistics are constant in clean text. A text is judged
 by its (language, source) if that has LEAST eligible texts, else by its language, else by the corpus; where
-none has so many, only the base rules decide. It is rejected beyond CUTOFF, after distances are scaled by their
-median (never down).
+none has so many, only the base rules decide. It is rejected beyond CUTOFF, the 0.9999 quantile of chi-squared with five
+degrees, after distances are scaled by their median. That never makes them larger: where some statistics are constant, the
+median is small because fewer than five degrees vary. Where clean texts have next to no repeats, x3 or x4 alone
+rejects from 0.26 on.
 
 Scale: statistics are whole numbers (thousandths), so sums are exact and results repeat; every
 estimate is a partial aggregation over (group, start) - a hot source costs no more than others - and the
@@ -37,12 +39,12 @@ from pyspark.sql import functions as F
 from annals.llm.common import saved
 
 P = 5
-FLOORS = (60, 100, 100, 100, 200)  # thousandths
+FLOORS = (20, 50, 50, 50, 50)  # thousandths
 SUBSET = 0.75
 STEPS = 3
 LEAST = 60
-#: Far in the tail of chi-squared with five degrees (1e-11), as clean text has heavier tails than the normal law.
-CUTOFF = 60.0
+#: The 0.9999 quantile of chi-squared with five degrees.
+CUTOFF = 25.745
 MEDIAN_CHI2 = 4.351
 LEAST_WORDS, MOST_REPEATED = 50, 50
 

@@ -197,6 +197,22 @@ def test_robust_outliers_beside_many_clean_texts(spark):
     assert sum(got[i] for i in got if i % 10) >= 0.99 * 540
 
 
+def test_repeats_alone_reject(spark):
+    """Beside clean texts, 60% duplicated lines or 46% repeated windows are enough; the base rules let both pass."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400)]
+    some = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    rows = [(i, "\n".join(" ".join(some(12)) for _ in range(10))) for i in range(300)]
+    rows += [(1000 + i, "\n".join(" ".join(some(12)) + "\nalpha\nbeta" for _ in range(10))) for i in range(5)]
+    for i in range(5):
+        twice = some(30)
+        rows.append((2000 + i, " ".join(twice + some(35) + twice + some(35))))
+    got = {r[0]: r[1:] for r in pairs(quality_rules.judge(spark.createDataFrame([(*r, "en", "web") for r in rows], "doc_id long, text string, lang string, source string")), "doc_id", "kept", "base_failed")}
+    assert not any(failed for _, failed in got.values())
+    assert [i for i, (kept, _) in got.items() if kept and i >= 1000] == []
+    assert sum(got[i][0] for i in range(300)) >= 0.99 * 300
+
+
 def test_quality_keeps_clean_labelled_documents(spark, small):
     marked = quality_rules.judge(table(spark, small, "documents")).join(table(spark, small, "labels"), "doc_id").where("not base_failed")
     good = marked.where("quality = 1 and toxic = 0")
