@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, shuffle: int = 8, app: str = "annals") -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster the caller brings its own session."""
+    """A local session for tests and benchmarks, with a shared folder of its own; on a cluster the caller brings its own session."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -21,6 +22,9 @@ def local_session(cpus: int | None = None, shuffle: int = 8, app: str = "annals"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="annals-"))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
