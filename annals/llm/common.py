@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from annals.plans.shared import shared_folder, shared_root, written  # noqa: F401
 
 #: White space between words, as in ``[^\x20\x09-\x0D]+``.
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
@@ -21,30 +22,9 @@ LOWER[65:91] += 32
 AS_IS = np.arange(256, dtype=np.uint8)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of our own is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        root = "file://" + tempfile.mkdtemp(prefix="annals-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new name in the shared folder; nothing is made yet."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-
-
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    to = shared_folder(spark, what)
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return written(df, what)
 
 
 def open_fs(uri: str):
@@ -65,15 +45,6 @@ def batches_of(batch: pa.RecordBatch, rows: int):
         yield batch.slice(at, rows)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    p = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-    a, b = np.full(n, p, np.uint64), np.full(n, inverse, np.uint64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; a bijection."""
     x = np.asarray(x, np.uint64).copy()
@@ -85,6 +56,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=2)
+def _factors(n: int) -> np.ndarray:
+    return mix((np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls have no bytes."""
     if isinstance(texts, pa.ChunkedArray):
@@ -146,10 +122,16 @@ def _hashed_piece(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[n
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, word[1:]
     ends = np.flatnonzero(word & (~after | cut[1:])) + 1
-    power, inverse = _powers(1 << max(16, int(n).bit_length()))
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    # a factor of its own for every place in a word (multilinear): no power series, whose sums some words share
+    first = np.zeros(n, np.int64)
+    first[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(first)
+    factors = _factors(1 << max(12, int((ends - starts).max()).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER if lower else AS_IS)[data].astype(np.uint64) * power[:n] + power[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    np.cumsum(((LOWER if lower else AS_IS)[data].astype(np.uint64) + np.uint64(1)) * factors[np.minimum(place, len(factors) - 1)], out=sums[1:])
+    h = sums[ends] - sums[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), starts
 
 
@@ -176,3 +158,19 @@ def shingle_sets(texts: pa.Array, n: int, lower: bool = True) -> list[np.ndarray
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def joined_spread(rows: DataFrame, small: DataFrame, key: str, n: int, shares: int = 1000) -> DataFrame:
+    """rows left join small (one row a key) on key, where a key may hold very many of the n rows.
+
+    At most ``shares`` keys can hold more than n / shares rows each; these are broadcast, so that their rows
+    stay where they are. No other key can burden a task.
+    """
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, n // shares)).select(key)
+    hot = saved(hot, "hot")
+    few = F.broadcast(small.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True)))
+    names = [c for c in small.columns if c != key]
+    marked = rows.join(few, key, "left")
+    first = marked.where("_hot").drop("_hot")
+    rest = marked.where("_hot is null").drop("_hot", *names).join(small, key, "left")
+    return first.unionByName(rest)
