@@ -17,7 +17,7 @@ Scale: documents are range-partitioned by id and sorted in each partition; a tas
 under a name of its attempt and then moves it to its final name, so that repeated and lost tasks leave
 whole files only. The manifest has one row a shard; starts are its running sum.
 
-Encoding: pieces of byte-level BPE can't cross a single blank between two other characters, so the ids of a word with the blank
+Encoding: pieces of byte-level BPE can't cross a single blank or line feed between two other characters, so the ids of a word with what is
 in front are remembered (at most MEMO words of up to MEMO_CHARS characters a worker) and only new words go
 to the library. Texts with a blank beside other white space are cut elsewhere only; other kinds of
 tokenizers encode whole texts.
@@ -49,6 +49,36 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 
 _BESIDE = re.compile(r" \s|\s ")
 _SINGLE = re.compile(r"(?<!\s) (?!\s)")
+_BLANK_BEFORE_WORD = re.compile(" ")
+_ODD_SPACE = re.compile(r"[^\S \n\t\r\f\v]")
+
+
+#: White space beside blank and line feed, as the tokenizers' ``\\s`` has it.
+_OTHERS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def _words(text: str) -> list[str]:
+    """The text cut before white space that no piece can cross: each word but the first has a blank in front, or starts with a line feed."""
+    alone = "  " not in text and not any(c in text for c in _OTHERS)
+    if alone and "\n" not in text:
+        return text.split(" ")
+    if alone and " \n" not in text and "\n " not in text and "\n\n" not in text:
+        return text.replace("\n", " \n").split(" ")
+    return _SINGLE.split(text) if _BESIDE.search(text) else _BLANK_BEFORE_WORD.split(text)
+
+
+class Memo(dict):
+    """Ids of words behind a blank; new words are encoded and, unless very long, remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word if word[:1] == "\n" else " " + word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -73,7 +103,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._new)
         self.pieces: dict[str, bytes] = {}
         if self.by_word:
             import regex
@@ -87,7 +117,7 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _new(self, word: str) -> bytes:
-        if self.added and self.added.search(word) or any(c.isspace() and c not in " \n\t\r\f\v" for c in word):
+        if self.added and self.added.search(word) or _ODD_SPACE.search(word):
             return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         out = []
         for piece in self.split(word):
@@ -109,18 +139,12 @@ class Encoder:
             memo.clear()
         if len(self.pieces) > MEMO:
             self.pieces.clear()
-        out = []
+        out, known = [], memo.__getitem__
         for text in texts:
-            words = _SINGLE.split(text) if _BESIDE.search(text) else text.split(" ")
-            ids = [self._new(words[0])] if words[0] else []
-            for w in words[1:]:
-                known = memo.get(w)
-                if known is None:
-                    known = self._new(" " + w)
-                    if len(w) <= MEMO_CHARS:
-                        memo[w] = known
-                ids.append(known)
-            out.append(b"".join(ids))
+            words = _words(text)
+            first = self._new(words[0]) if words[0] else b""
+            del words[0]
+            out.append(first + b"".join(map(known, words)))
         return out
 
 
