@@ -6,19 +6,23 @@ equal positions, counted by bit operations and corrected for chance collisions,
 similarity. Candidates whose estimate is more than ``SIGMAS`` standard deviations below the
 threshold are dropped, all others are confirmed on their full shingle sets.
 
-Sizes. Equal sets are folded into one representative first (a partial minimum, whatever the number
-of copies). A bucket of a band is first linked through its smallest member: n - 1 candidates. Only
-where a bucket still holds texts of several components after these are confirmed, its members are
+Sizes. Equal sets are folded into one node first (a partial minimum, whatever the number
+of copies). A bucket of a band is first linked through its smallest member: n - 1 candidates, of which those
+that the estimate rules out are dropped. A hub's members are confirmed in chunks of ``CHUNK``, to each of which the
+hub's set goes once. Only where a bucket still holds texts of several components after that, its members are
 compared block by block (packed signatures only, ``BLOCK`` members a side). Pairs of different
 components that pass the estimate are listed by the text of the smaller component, one row for each
 block of ``HOME`` shingles that its candidates lie in, and confirmed there, so that no set is sent once a
-pair. No bucket is capped and no pair dropped: every pair that shares a bucket is linked, compared on
-full sets or known to be in one component.
+pair. No bucket is capped and no pair dropped: every pair that shares a bucket is linked, ruled out by the estimate, compared on
+full sets or known to be in one component. Rows that meet by a key that many share (copies of one set, members of
+one hub) are joined by ``common.joined_spread``.
 At the threshold a pair shares no band with probability (1 - s**ROWS)**BANDS (4e-7 at 0.85, 3e-5 at 0.8).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text with fewer words
-than a shingle is one shingle; repeated ids are one document (its smallest text counts); an empty
-table gives an empty result; other columns are not read.
+than a shingle is one shingle; every row is a document of its own, whatever its id: rows with a repeated id or none are
+compared like others. ``link`` gives each row its group's smallest id (null if none of the group has an id).
+``deduplicated`` keeps one row of each group: the smallest id, then the smallest digest of the text, rows without
+id last, of wholly equal rows any one; rows without shingles all stay. An empty table gives an empty result; other columns are not read by ``link``.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annals.llm.common import batches_of, mix, saved, shingle_sets
+from annals.llm.common import BLANKS, batches_of, joined_spread, mix, saved, shingle_sets
 from annals.llm.components import components
 
 BANDS, ROWS, BITS = 20, 4, 4
 HASHES = BANDS * ROWS
 SIGMAS = 5.5
 BLOCK = 1024
+#: Shingles in a family block, and candidates compared with one copy of it (or of a hub's set).
+HOME, CHUNK = 1 << 18, 2048
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,6 +89,19 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return (np.asarray(equal, float) / HASHES - chance) / (1 - chance)
 
 
+def differing_positions(a: str, b: str):
+    """The number of unequal positions of two signature columns (array<long>), by bit counts.
+
+    BITS = 4: the four bits of a position of the XOR are folded into its lowest, and those are counted.
+    """
+    total = F.lit(0)
+    for k in range(HASHES * BITS // 64):
+        x = F.expr(f"{a}[{k}] ^ {b}[{k}]")
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def least_equal(threshold: float) -> int:
     """Equal positions below which a pair is dropped: SIGMAS deviations under what the threshold expects."""
     chance = 2.0**-BITS
@@ -90,11 +109,16 @@ def least_equal(threshold: float) -> int:
     return max(0, int(HASHES * p - SIGMAS * (HASHES * p * (1 - p)) ** 0.5))
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_key string, bands array<long>, sig binary"
+SIGNATURE = "doc_id long, tag string, n_shingles long, set_key string, bands array<long>, sig array<long>"
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text) of docs; the tag is a digest of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), "text")
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sig); the last three are null for a text without words."""
+    """(doc_id, tag, n_shingles, set_key, bands, sig); the last three are null for a text without words."""
 
     def run(it):
         for big in it:
@@ -103,36 +127,44 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 least = [minima(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").cast(pa.int64()),
+                        batch.column("doc_id"),
+                        batch.column("tag"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets], pa.string()),
                         pa.array([None if x is None else band_keys(x).astype(np.int64) for x in least], pa.list_(pa.int64())),
-                        pa.array([None if x is None else pack(x) for x in least], pa.binary()),
+                        pa.array([None if x is None else np.frombuffer(pack(x), np.int64) for x in least], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                    names=["doc_id", "tag", "n_shingles", "set_key", "bands", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return tagged(docs).mapInArrow(run, SIGNATURE)
 
 
-def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, set_key, shingles array<long>) of whole texts."""
+def full_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles array<long>) of whole texts."""
 
     def run(it):
         for big in it:
             for batch in batches_of(big, 512):
                 sets = shingle_sets(batch.column("text"), n)
-                keys = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.string()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key string, shingles array<long>")
+
+def _likely(pairs: DataFrame, chief: DataFrame, percent: int, n: int) -> DataFrame:
+    """(a, b, chunk) of those pairs (a: hub, b: member) that sizes and estimate leave open."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).join(chief.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("sig").alias("sig_a")), "a")
+    both = joined_spread(pairs, saved(hubs, "hubs"), "a", n).join(chief.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("sig").alias("sig_b")), "b")
+    both = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).where(differing_positions("sig_a", "sig_b") <= HASHES - least_equal(percent / 100))
+    return both.select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("i"))
+    """Those of pairs (a, b, chunk) with 100 * intersection >= percent * union, on full sets."""
+    one = pairs.select("a", "chunk").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    two = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = two.join(one, ["a", "chunk"]).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("i"))
     return both.where(F.col("i") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m"))).select("a", "b")
 
 
@@ -147,7 +179,7 @@ def _candidates(percent: int):
         ids, comp, size, many, home = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "comp_size", "home"))
         side = table.column("side").to_numpy()
         bands = np.array(table.column("bands").to_pylist(), np.int64)
-        sig = np.array([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
+        sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint8)
         band, same = table.column("band")[0].as_py(), table.column("left")[0].as_py() == table.column("right")[0].as_py()
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         lows, highs = [], []
@@ -216,10 +248,6 @@ def _joined(percent: int):
     return run
 
 
-#: Shingles in a family block, and candidates compared with one copy of it.
-HOME, CHUNK = 1 << 18, 2048
-
-
 def _rest(members: DataFrame, label: DataFrame, chief: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between texts of different components of label that share a bucket."""
     tagged = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -244,44 +272,58 @@ def _rest(members: DataFrame, label: DataFrame, chief: DataFrame, sets: DataFram
     return left.groupBy("home", "chunk").cogroup(right.groupBy("home2", "chunk2")).applyInArrow(_joined(percent), "a long, b long")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document id; see the module for the method.
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(signatures' rows, nodes (set_key, least, comp), number of rows).
 
-    component_id: the smallest id reachable over links with 100 * intersection >= percent * union.
+    A node is a distinct shingle set; least: (without id, id, tag) of its first row; comp: a number of its group.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
     sigs = saved(signatures(docs, words), "signatures")
-    # repeated ids: one row
-    once = sigs.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_key", "bands", "sig")).alias("s")).select("doc_id", "s.*")
-    reps = once.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    rows = saved(once.where("set_key is not null").join(reps, "set_key").select("doc_id", "rep", "n_shingles", "bands", "sig"), "folded")
-    chief = rows.where("doc_id = rep").select("doc_id", "n_shingles", "bands", "sig")
+    rows = sigs.count()
+    least = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag", "n_shingles", "bands", "sig")
+    nodes = sigs.where("set_key is not null").groupBy("set_key").agg(F.min(least).alias("s"))
+    # numbers made up as the table is written; from then on they are fixed
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.struct("s.nameless", "s.doc_id", "s.tag").alias("least"), "s.n_shingles", "s.bands", "s.sig"), "nodes")
+    chief = nodes.select(F.col("node").alias("doc_id"), "n_shingles", "bands", "sig")
     spread = chief.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = spread.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = saved(spread.join(hubs, ["band", "key"]).select("band", "key", "doc_id", "hub", "n"), "buckets")
-    wanted = members.select("doc_id").distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), words)
-    if sigs.count() != once.count():  # of repeated ids, the text that once has
-        sets = sets.join(once.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
-    sets = saved(sets.drop("set_key"), "sets")
-    size = chief.select("doc_id", "n_shingles")
-    star = (
-        members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-        .join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n")), "a")
-        .join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m")), "b")
-        .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        .select("a", "b")
-    )
-    found = saved(_confirmed(star, sets, percent), "links")
+    wanted = members.select(F.col("doc_id").alias("node")).distinct().join(nodes.select("node", F.col("least.doc_id").alias("_d"), F.col("least.tag").alias("_t")), "node")
+    wanted = saved(wanted, "wanted")
+    texts = tagged(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t"))).select(F.col("node").alias("doc_id"), "text")
+    sets = saved(full_sets(texts, words), "sets")
+    if sets.count() != wanted.count():  # wholly equal rows
+        sets = saved(sets.dropDuplicates(["doc_id"]), "sets")
+    pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = saved(_confirmed(saved(_likely(saved(pairs, "pairs"), chief, percent, rows), "likely"), sets, percent), "links")
     label = components(found)
     more = saved(_rest(members, label, chief, sets, percent), "links")
     final = components(found.unionByName(more)) if not more.isEmpty() else label
-    named = rows.select("doc_id", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    out = once.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = nodes.select("set_key", "node", "least").join(final.select("node", "component"), "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("comp"))
+    return sigs.select("doc_id", "n_shingles", "set_key"), saved(named, "named"), rows
+
+
+def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; see the module for the method.
+
+    component_id: the smallest id reachable over links with 100 * intersection >= percent * union.
+    """
+    rows, named, n = _linked(docs, words, percent)
+    first = named.groupBy("comp").agg(F.min("least.doc_id").alias("component_id"))
+    of_set = joined_spread(named.select("set_key", "comp"), first, "comp", n).select("set_key", "component_id")
+    out = joined_spread(rows, of_set, "set_key", n)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each group stays; columns as before, rows with a null id stay."""
-    gone = link(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """The rows of docs of which one of each group stays, columns as before; see the module for which."""
+    _, named, _ = _linked(docs, words, percent)
+    first = saved(named.groupBy("comp").agg(F.min("least").alias("l")).select(F.col("l.doc_id").alias("_d"), F.col("l.tag").alias("_t")), "first")
+    blank = F.expr(f"btrim(coalesce(text, ''), {BLANKS}) = ''")
+    texts = docs.where(~blank).withColumn("_tag", F.md5(F.col("text").cast("binary")))
+    stay = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")), "left_semi")
+    again = texts.groupBy("doc_id", "_tag").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows of one id and text: the one with the smallest digest of its other columns
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.xxhash64(*others) if others else F.lit(0)))).where("_n = 1")
+    return stay.select(docs.columns).unionByName(docs.where(blank))
