@@ -15,6 +15,10 @@ from annals.plans.shared import shared_folder, shared_root, written  # noqa: F40
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: The same as SQL strings: blanks to trim, and what lies between words.
+BLANKS = "' \\t\\n\\u000B\\f\\r'"
+SPLIT = "'[\\\\x20\\\\x09-\\\\x0D]+'"
+
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACES)] = False
 LOWER = np.arange(256, dtype=np.uint8)

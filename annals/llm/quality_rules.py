@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annals.llm.common import saved
+from annals.llm.common import BLANKS, SPLIT, saved
 
 P = 5
 FLOORS = (20, 50, 50, 50, 50)  # thousandths
@@ -48,17 +48,14 @@ CUTOFF = 25.745
 MEDIAN_CHI2 = 4.351
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
-_BLANKS = "' \\t\\n\\u000B\\f\\r'"
-_SPLIT = "'[\\\\x20\\\\x09-\\\\x0D]+'"
-
 
 def _let(name: str, value: str, body: str) -> str:
     """SQL that computes value once and uses it by name in body."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-_WORDS = f"if(btrim(t, {_BLANKS}) = '', cast(array() as array<string>), split(btrim(t, {_BLANKS}), {_SPLIT}))"
-_LINES = f"filter(split(t, '\\n'), l -> btrim(l, {_BLANKS}) <> '')"
+_WORDS = f"if(btrim(t, {BLANKS}) = '', cast(array() as array<string>), split(btrim(t, {BLANKS}), {SPLIT}))"
+_LINES = f"filter(split(t, '\\n'), l -> btrim(l, {BLANKS}) <> '')"
 _REPEATED = "if(size(w) < 3, 0L, " + _let(
     "g",
     "sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) as h, i as i)))",
@@ -161,7 +158,9 @@ _BIN = "cast(floor(32 * log1p(d2)) as int)"
 
 def _cut(rows: DataFrame, share: float, name: str) -> DataFrame:
     """(grp, start, name): the first histogram bin of d2 up to which at least that share of the rows lies."""
+    # summed by bin first: window and aggregation together would send every task's bins of a group to one task
     bins = rows.groupBy("grp", "start", F.expr(_BIN).alias("bin")).agg(F.count("*").alias("k"))
+    bins = saved(bins, "bins")
     w = Window.partitionBy("grp", "start").orderBy("bin")
     up = bins.select("grp", "start", "bin", F.sum("k").over(w).alias("upto"), F.sum("k").over(Window.partitionBy("grp", "start")).alias("all"))
     return up.where(F.col("upto") >= F.lit(share) * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias(name))
@@ -192,10 +191,19 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return saved(final.join(middle, ["grp", "start"]).withColumn("scale", F.greatest(F.lit(1.0), F.expm1((F.col("middle") + 1) / 32) / MEDIAN_CHI2)).drop("logdet", "start", "middle"), "estimates")
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    stats = statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
+def _tag():
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _cell():
+    return F.concat(F.lit("c"), _key("lang", "source"))
+
+
+def _judged(docs: DataFrame, tag: bool = False) -> DataFrame:
+    stats = statistics(docs.select("doc_id", "text", "lang", "source"))
+    stats = (stats.withColumn("_tag", _tag()) if tag else stats).drop("text")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = _vectors(stats.withColumn("base_failed", failed)).withColumn("_lang", F.concat(F.lit("l"), _key("lang"))).withColumn("_cell", F.concat(F.lit("c"), _key("lang", "source")))
+    rows = _vectors(stats.withColumn("base_failed", failed)).withColumn("_lang", F.concat(F.lit("l"), _key("lang"))).withColumn("_cell", _cell())
     rows = saved(rows.drop("lang", "source"), "statistics")
     found = estimates(rows)
     named = lambda k: found.select(F.col("grp").alias(k), F.struct(*[c for c in found.columns if c != "grp"]).alias(f"e{k}"))
@@ -212,6 +220,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, columns as before; of repeated ids those stay that are kept in any row."""
-    keep = judge(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """The rows of docs that are kept, columns as before.
+
+    A verdict depends on text, language and source only, so rows get theirs by these (and by id, which spreads copies).
+    """
+    keep = _judged(docs, tag=True).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("_tag").alias("_kept_tag"), F.col("_cell").alias("_kept_cell"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (_tag() == F.col("_kept_tag")) & (_cell() == F.col("_kept_cell"))
+    return docs.join(keep, same, "left_semi")
