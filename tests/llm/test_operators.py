@@ -119,6 +119,16 @@ def test_words_are_hashed_alike_in_pieces(monkeypatch):
     assert len(set(words)) == len(np.unique(whole[0])) and len(words) == len(whole[0])
 
 
+def test_words_that_share_power_sums_have_different_hashes():
+    """A Thue-Morse word and its complement collide in every polynomial hash modulo 2**64."""
+    from annals.llm import common
+
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        hashes, _ = common.hashed_words(pa.array(["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]))
+        assert len(hashes) == 2 and hashes[0] != hashes[1]
+
+
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_are_all_found(spark, small, words, percent):
     docs = table(spark, small, "documents")
@@ -137,7 +147,29 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     nameless = odd_docs.unionByName(odd_docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
     kept = near_dedup.deduplicated(nameless, 3, 85)
     assert kept.columns == odd_docs.columns
-    assert {r[0] for r in pairs(kept, "doc_id")} == {None, *(i for i, (_, c) in truth.items() if c == i)}
+    assert {r[0] for r in pairs(kept, "doc_id")} == {i for i, (_, c) in truth.items() if c == i}
+
+
+def test_rows_without_or_with_repeated_ids_are_documents_of_their_own(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, one, 1), (None, one, 1), (None, two, 1), (5, two, 1), (7, three, 1), (7, three, 2), (7, one, 1), (None, "", 1), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    linked = sorted(pairs(near_dedup.link(docs, 3, 85), "doc_id", "n_shingles", "component_id", "kept"), key=repr)
+    assert linked == sorted([(None, 38, 7, False)] * 2 + [(None, 38, 5, False), (5, 38, 5, True)] + [(7, 38, 7, True)] * 3 + [(None, 0, None, True)] * 2, key=repr)
+    kept = sorted(pairs(near_dedup.deduplicated(docs, 3, 85), "doc_id", "text"), key=repr)
+    assert kept == sorted([(5, two), (7, three), (7, one), (None, ""), (None, None)], key=repr)
+
+
+def test_pairs_of_one_bucket_that_the_estimate_rules_out_are_not_confirmed(spark, small):
+    """_likely drops what signatures tell apart, by the same count as the numpy form; without it every pair would be confirmed."""
+    sigs = near_dedup.signatures(table(spark, small, "documents"), 3).where("set_key is not null").limit(60)
+    rows = sigs.select("doc_id", "n_shingles", "sig").collect()
+    chief = spark.createDataFrame([(k, 100, list(r.sig)) for k, r in enumerate(rows)], "doc_id long, n_shingles long, sig array<long>")
+    bits = np.array([r.sig for r in rows], np.int64).view(np.uint8)
+    equal = near_dedup.equal_positions(bits[:1], bits[1:])[0]
+    want = {k + 1 for k in range(len(equal)) if near_dedup.estimate(equal[k]) >= near_dedup.estimate(near_dedup.least_equal(0.85))}
+    given = spark.createDataFrame([(0, k) for k in range(1, len(rows))], "a long, b long")
+    assert {r.b for r in near_dedup._likely(given, chief, 85, 60).collect()} == want and len(want) < len(rows) - 1
 
 
 def test_large_bucket_with_different_texts(spark):
@@ -182,6 +214,13 @@ def test_quality_counts(spark, small, odd_docs, no_docs):
     assert quality_rules.accepted(odd_docs).columns == odd_docs.columns
 
 
+def test_each_row_is_accepted_by_its_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, good, "a"), (None, "x x x", "a"), (7, good, "a"), (7, "bad", "a"), (7, good, None)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    assert sorted(pairs(quality_rules.accepted(docs), "doc_id", "text", "source"), key=repr) == sorted([(None, good, "a"), (7, good, "a"), (7, good, None)], key=repr)
+
+
 def test_robust_outliers_beside_many_clean_texts(spark):
     """A tenth of symbol-ridden texts doesn't pull the estimate: they go, the others stay."""
     rng = np.random.default_rng(3)
@@ -462,6 +501,45 @@ def test_mixed_texts_have_the_taken_words(spark, odd_docs):
     assert have == {i: n for i, n in want.items() if n}
 
 
+def test_rows_of_one_id_and_size_keep_their_own_words(spark):
+    rows = [(None, "red green blue", "s"), (None, "one two three", "s"), (None, "x y z", "s"), (4, "p q", "s"), (4, "r t", "s"), (4, "r t", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).collect()
+    taken: dict = {}
+    for r in got:
+        assert any(set(brute.words(r.text)) <= set(brute.words(t)) and r.doc_id == i for i, t, _ in rows)
+        key = (r.doc_id, next(t for i, t, _ in rows if i == r.doc_id and set(brute.words(r.text)) <= set(brute.words(t))))
+        taken[key] = taken.get(key, 0) + len(brute.words(r.text))
+    want = sorted(r.taken for r in mixing.plan(docs).collect())
+    assert sum(taken.values()) == sum(want) == 23  # 150% of 15, rounded
+    assert set(taken) == {(i, t) for i, t, _ in rows}
+
+
+def test_slots_are_drawn_by_shard_and_permuted_by_source(spark):
+    """The numbers by shard are as uneven as a multinomial draw's, quotas are met and each pass takes each block once."""
+    sizes = [("a1", 40_000, 52_345), ("a2", 9_001, 9_001), ("n", 30_007, 60_014)]
+    goal = spark.createDataFrame([(s, n, w) for s, n, w in sizes], "skey string, source_size long, wanted long")
+    got = pairs(mixing.slots(goal, block=10, shard_slots=64), "shard", "slot", "skey", "pass", "block", "words")
+    assert sorted(got) == sorted(pairs(mixing.slots(goal.repartition(5), block=10, shard_slots=64), "shard", "slot", "skey", "pass", "block", "words"))
+    total = len(got)
+    assert sorted((a, b) for a, b, *_ in got) == [(k // 64, k % 64) for k in range(total)]
+    uneven = 0.0
+    for s, n, w in sizes:
+        mine = [x for x in got if x[2] == s]
+        assert sum(x[5] for x in mine) == w
+        for turn in range(-(-w // n)):
+            blocks = [x[4] for x in mine if x[3] == turn]
+            need = min(n, w - turn * n)
+            assert len(set(blocks)) == len(blocks) == -(-need // 10) and set(blocks) <= set(range(-(-n // 10)))
+            if need == n:
+                assert set(blocks) == set(range(-(-n // 10))) and blocks != sorted(blocks)
+        share = len(mine) / total
+        counts = np.bincount([x[0] for x in mine], minlength=total // 64 + 1)[: total // 64]
+        uneven += ((counts - 64 * share) ** 2 / (64 * share)).sum()
+    free = (total // 64) * 2
+    assert 0.7 * free < uneven < 1.3 * free
+
+
 # the queries as registered
 
 
