@@ -29,7 +29,8 @@ def digest(rows, *more: str):
 
 def op1_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(sentencepiece_codec.roundtrip(docs, tokenizer("piece_bpe_32k.model")))
+    coded = sentencepiece_codec.roundtrip(docs, tokenizer("piece_bpe_32k.model"))
+    return digest(coded, F.element_at("ends", -1).cast("long").alias("n_bytes"), F.xxhash64("begins", "ends").alias("spans_xxhash64"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

@@ -6,10 +6,13 @@ space becomes U+2581, with one in front of the text if the model says so. Segmen
 the library's, through a copy of the model whose own normaliser is switched off; a piece's
 normalised bytes are then projected through the record to [begin, end) in the original's UTF-8.
 
+Every text goes this way: it is normalised, the normalised text is segmented, pieces are projected through the record. A map
+without keys leaves only the white space to do, for which the record is made by array operations.
+
 Speed: if no piece of the model has U+2581 behind another character (checked when it is loaded), segmentation can't
-cross a single blank between two words, so the ids of a word are remembered (at most MEMO words of up
-to MEMO_CHARS characters a worker) and only new words are segmented. Texts where a blank meets another or U+2581, and models with a
-character map, are normalised and segmented whole.
+cross a single U+2581 of the normalised text, nor a line feed if no piece has one beside other characters, so the ids of a
+word are remembered (at most MEMO words of up to MEMO_CHARS characters a worker) and only new words are segmented.
+Normalised texts with U+2581 beside another are segmented whole.
 
 Defined cases: null and empty texts give no piece but the end id; repeated rows and ids are encoded
 row by row; an empty table gives an empty result; extra columns are kept by ``encode``; ids of
@@ -18,7 +21,6 @@ one text may be arbitrarily many.
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import lru_cache
 
@@ -33,8 +35,6 @@ MEMO = 1_000_000
 MEMO_CHARS = 48
 BLANK = "▁"
 
-_ODD = re.compile(f"^ | $| [ {BLANK}]|{BLANK}")
-_INVALID = b"\xef\xbf\xbd"
 
 
 def _fields(data: bytes):
@@ -111,8 +111,12 @@ class Normalizer:
         n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
         return n, data[at : at + n]
 
-    def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
-        """(normalised UTF-8, for each of its bytes and for its end the original byte's position)."""
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        """(normalised text, for each of its UTF-8 bytes and for its end the original byte's position)."""
+        if not text:
+            return "", np.zeros(1, np.int64)
+        if not len(self.map.units) and not self.squeeze:
+            return self._blanks_only(text)
         data = text.encode("utf-8", "replace")
         at, n = 0, len(data)
         blank = BLANK.encode() if self.escape else b" "
@@ -123,7 +127,7 @@ class Normalizer:
                     break
                 at += used
         if at >= n:
-            return b"", np.zeros(1, np.int64)
+            return "", np.zeros(1, np.int64)
         out, back = bytearray(), []
         if self.prefix:
             out += blank
@@ -145,7 +149,16 @@ class Normalizer:
                 end = back[-len(blank)]
                 del out[-len(blank) :], back[-len(blank) :]
         back.append(end)
-        return bytes(out), np.array(back, np.int64)
+        return out.decode("utf-8", "replace"), np.array(back, np.int64)
+
+    def _blanks_only(self, text: str) -> tuple[str, np.ndarray]:
+        """As normalize where no key of the map can match and blanks aren't squeezed."""
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        wide = len(BLANK.encode()) if self.escape else 1
+        back = np.repeat(np.arange(len(data)), np.where(data == 32, wide, 1)) if wide > 1 else np.arange(len(data))
+        back = np.concatenate([np.zeros(wide if self.prefix else 0, np.int64), back, [len(data)]])
+        made = text.replace(" ", BLANK) if self.escape else text
+        return ((BLANK if self.escape else " ") + made if self.prefix else made), back
 
 
 class Codec:
@@ -160,69 +173,71 @@ class Codec:
         off = b"\x0a\x08identity\x12\x00\x18\x00\x20\x00\x28\x00"
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=blob + b"\x1a" + bytes([len(off)]) + off)
         self.end_id = self.library.eos_id()
-        kinds, sizes, plain = [], [], []
+        kinds, sizes = [], []
+        across = lines = False
         for f, v in _fields(blob):
             if f == 1:
                 p = dict(_fields(v))
                 piece, kind = p.get(1, b"").decode(), p.get(3, 1)
                 kinds.append(kind)
                 sizes.append(1 if kind == 6 else len(piece.encode()))
-                plain.append(1 if kind == 6 else len(piece.replace(BLANK, " ").encode()))
-                if kind == 1 and BLANK in piece.lstrip(BLANK):
-                    self.whole = True
-        self.sizes, self.plain = np.array(sizes, np.int64), np.array(plain, np.int64)
+                if kind == 1:
+                    across |= BLANK in piece.lstrip(BLANK)
+                    lines |= "\n" in piece and len(piece) > 1
+        self.sizes = np.array(sizes, np.int64)
         self.has_unknown = 6 not in kinds
-        n = self.normalizer
-        self.whole = getattr(self, "whole", False) or 4 in kinds or bool(len(n.map.units)) or n.squeeze or not n.prefix or not n.escape or self.has_unknown
+        self.by_line = not lines
+        # texts are segmented whole if a piece can cross words, is user-defined, or stands for any run of unknown characters
+        self.whole = across or 4 in kinds or self.has_unknown or not self.normalizer.escape or not self.normalizer.prefix
         self.memo: dict[str, bytes] = {}
 
-    def _pairs(self, words: list[str]) -> list[bytes]:
-        """For each word behind a blank: (id, original bytes) as int32 pairs."""
-        out = []
-        for ids in self.raw.encode([BLANK + w for w in words], num_threads=1):
-            a = np.array(ids, np.int32)
-            out.append(np.stack([a, self.plain[a].astype(np.int32)], axis=1).tobytes())
-        return out
-
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        made, back = self.normalizer.normalize(text)
+    def _segmented(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, with U+2581 in front unless it starts with a line feed, as int32."""
+        return [np.array(ids, np.int32).tobytes() for ids in self.raw.encode([w if w[:1] == "\n" else BLANK + w for w in words], num_threads=1)]
+
+    def _words(self, made: str) -> list[str] | None:
+        """The words of a normalised text, or None if it is to be segmented whole."""
+        if self.whole or not made or BLANK + BLANK in made:
+            return None
+        if self.by_line and "\n" in made and BLANK + "\n" not in made:
+            made = made.replace("\n", BLANK + "\n")
+        elif BLANK + "\n" in made:
+            return None
+        words = made.split(BLANK)
+        del words[0]  # in front of the first U+2581
+        return words
+
+    def _whole(self, made: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends of the pieces in normalised bytes)."""
         if self.has_unknown:  # an unknown piece may be of any length: ask for surfaces
-            found = self.raw.encode(made.decode("utf-8", "replace"), return_type="proto")
-            ids = np.array([p.id for p in found.pieces], np.int64)
-            ends = np.cumsum([len(p.surface.encode()) for p in found.pieces], dtype=np.int64)
-        else:
-            ids = np.array(self.raw.encode(made.decode("utf-8", "replace"), num_threads=1), np.int64)
-            ends = np.cumsum(self.sizes[ids]) if len(ids) else np.zeros(0, np.int64)
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return ids.astype(np.int32), back[begins].astype(np.int32), back[ends].astype(np.int32)
+            found = self.raw.encode(made, return_type="proto")
+            return np.array([p.id for p in found.pieces], np.int32), np.cumsum([len(p.surface.encode()) for p in found.pieces], dtype=np.int64)
+        ids = np.array(self.raw.encode(made, num_threads=1), np.int32)
+        return ids, np.cumsum(self.sizes[ids]) if len(ids) else np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begins, ends) of each text, without the end id."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        split = [None if self.whole or not t or _ODD.search(t) else t.split(" ") for t in texts]
-        new = set().union(*[s for s in split if s]) if split else set()
-        new = [w for w in new if w not in memo]
+        normal = [self.normalizer.normalize(t) for t in texts]
+        split = [self._words(made) for made, _ in normal]
+        new = [w for w in set().union(*[s for s in split if s]) if w not in memo]
         extra = {}
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for w, pairs in zip(part, self._pairs(part)):
-                (memo if len(w) <= MEMO_CHARS else extra)[w] = pairs
+            for w, ids in zip(part, self._segmented(part)):
+                (memo if len(w) <= MEMO_CHARS else extra)[w] = ids
         out = []
-        none = np.zeros(0, np.int32)
-        for text, words in zip(texts, split):
-            if not text:
-                out.append((none, none, none))
-            elif words is None:
-                out.append(self._whole(text))
+        for (made, back), words in zip(normal, split):
+            if words is None:
+                ids, ends = self._whole(made)
             else:
-                pairs = np.frombuffer(b"".join([memo[w] if w in memo else extra[w] for w in words]), np.int32).reshape(-1, 2)
-                ends = np.cumsum(pairs[:, 1], dtype=np.int32)
-                ends -= 1  # the blank in front of the text has no bytes
-                begins = np.empty_like(ends)
-                begins[0], begins[1:] = 0, ends[:-1]
-                out.append((pairs[:, 0], begins, ends))
+                found = map(memo.__getitem__, words) if not extra else [memo[w] if w in memo else extra[w] for w in words]
+                ids = np.frombuffer(b"".join(found), np.int32)
+                ends = np.cumsum(self.sizes[ids])
+            places = back[np.concatenate([[0], ends])].astype(np.int32)
+            out.append((ids, places[:-1], places[1:]))
         return out
 
 

@@ -64,6 +64,49 @@ def test_spans_cover_the_original_bytes(odd_docs, library):
                 assert data[a:b].decode().replace(" ", "▁").lstrip("▁") == library.id_to_piece(i).lstrip("▁")
 
 
+def test_spans_are_the_librarys(spark, small, library):
+    """All texts of the table; of byte pieces the library gives the whole character to the last."""
+    c = sentencepiece_codec.codec(queries.tokenizer("piece_bpe_32k.model"))
+    texts = [t for t, in pairs(table(spark, small, "documents").limit(200), "text")] + ["é b▁c", "a\nb  c ", " x", "▁▁ y", "\n\n \n"]
+    for text, (ids, begins, ends) in zip(texts, c.encode([t or "" for t in texts])):
+        pieces = library.encode(text or "", return_type="proto").pieces
+        assert [(p.id, p.begin, p.end) for p in pieces if not library.is_byte(p.id)] == [x for x in zip(ids.tolist(), begins.tolist(), ends.tolist()) if not library.is_byte(x[0])]
+
+
+def test_every_text_is_normalised(monkeypatch):
+    """The spans come from the normaliser's record: with a record that is off by one they are, too."""
+    c = sentencepiece_codec.Codec(queries.tokenizer("piece_bpe_32k.model"))
+    plain = c.encode(["one two", "naïve"])
+    normalize = c.normalizer.normalize
+    monkeypatch.setattr(c.normalizer, "normalize", lambda t: (normalize(t)[0], normalize(t)[1] + 1))
+    for (i, b, e), (j, x, y) in zip(plain, c.encode(["one two", "naïve"])):
+        assert np.array_equal(i, j) and np.array_equal(b + 1, x) and np.array_equal(e + 1, y)
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_a_model_with_a_character_map(tmp_path, squeeze):
+    """The tables' model with another normaliser, as a later field of the message replaces an earlier one."""
+    import sentencepiece
+
+    trie = _trie({b"a": b"o", b"ab": b"the", "é".encode(): b"e", b"\t": b" ", b"Q": b""})
+    spec = b"\x0a\x01m\x12" + _size(len(trie)) + trie + bytes([0x18, 1, 0x20, squeeze, 0x28, 1])
+    file = tmp_path / "mapped.model"
+    file.write_bytes(open(queries.tokenizer("piece_bpe_32k.model"), "rb").read() + b"\x1a" + _size(len(spec)) + spec)
+    made, ours = sentencepiece.SentencePieceProcessor(model_file=str(file)), sentencepiece_codec.Codec(str(file))
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abéQx \t\n漢"), rng.integers(0, 20))) for _ in range(2000)]
+    for text, (ids, begins, ends) in zip(texts, ours.encode(texts)):
+        assert ids.tolist() == made.encode(text), text
+        assert all(0 <= a <= b <= len(text.encode()) for a, b in zip(begins, ends)) and list(begins) == sorted(begins)
+
+
+def _size(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
 def test_longest_prefix_of_a_character_map():
     """A hand-made trie: 'ab' -> 'X', 'a' -> 'Y' (leaves have bit 8 of a unit and the value at offset 0)."""
     made = sentencepiece_codec.CharacterMap(_trie({b"a": b"Y", b"ab": b"X", b"\xc3\xa9": b"e"}))
@@ -74,7 +117,7 @@ def test_longest_prefix_of_a_character_map():
     normal = sentencepiece_codec.Normalizer(b"")
     normal.map = made
     out, back = normal.normalize("  ab é  a ")
-    assert out.decode() == "▁X▁e▁Y" and back[3] == 2 and back[-1] == len("  ab é  a".encode())
+    assert out == "▁X▁e▁Y" and back[3] == 2 and back[-1] == len("  ab é  a".encode())
 
 
 def _trie(words: dict[bytes, bytes]) -> bytes:
@@ -377,15 +420,53 @@ def test_model_is_better_than_its_base_on_held_out_text(spark, small):
     assert row.s > row.b and row.s < 0
 
 
-def test_class_factored_probabilities_sum_to_one():
+def _random_model(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "LEVELS", 2)
+    monkeypatch.setattr(maxent_lm, "CELLS", maxent_lm.FAN**2)
     rng = np.random.default_rng(2)
-    weights, bias = rng.normal(size=(maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32), rng.normal(size=maxent_lm.CLASSES).astype(np.float32)
+    return rng, rng.normal(size=(1 << 12, maxent_lm.FAN)).astype(np.float32), rng.normal(size=(1 + maxent_lm.FAN, maxent_lm.FAN)).astype(np.float32)
+
+
+def test_class_factored_probabilities_sum_to_one(monkeypatch):
+    rng, weights, bias = _random_model(monkeypatch)
     context = rng.integers(0, 2**63, 3, dtype=np.uint64)
-    total = 0.0
-    for k in range(maxent_lm.CLASSES):
-        last = np.uint64(k << 7)
-        total += np.exp(maxent_lm.class_scores(weights, bias, np.append(context, last), np.array([0, 4]))[-1])
-    assert abs(total - 1) < 1e-5
+    cells = np.arange(maxent_lm.CELLS, dtype=np.uint64) << np.uint64(7)
+    total = sum(np.exp(maxent_lm.log_probabilities(weights, bias, np.append(context, c), np.array([0, 4]))[-1]) for c in cells)
+    assert abs(total - 1) < 1e-4
+
+
+def test_context_tells_words_of_one_class_apart(monkeypatch):
+    """Two words with the same first digit: another previous word changes the ratio of their probabilities."""
+    rng, weights, bias = _random_model(monkeypatch)
+    words = [np.uint64((3 * 16 + d) << 7) for d in (1, 9)]
+    ratio = []
+    for before in rng.integers(0, 2**63, 2, dtype=np.uint64):
+        a, b = (maxent_lm.log_probabilities(weights, bias, np.array([before, w]), np.array([0, 2]))[-1] for w in words)
+        ratio.append(a - b)
+    assert abs(ratio[0] - ratio[1]) > 1e-3
+
+
+def test_sums_and_scores_are_those_of_a_plain_loop(monkeypatch):
+    rng, weights, bias = _random_model(monkeypatch)
+    tokens, offsets = rng.integers(0, 2**63, 12, dtype=np.uint64) % np.uint64(1 << 20), np.array([0, 5, 5, 12])
+    observed, expected = np.zeros(weights.shape, np.int64), np.zeros(weights.shape)
+    maxent_lm.gradient(weights, bias, tokens, offsets, observed, expected)
+    want_o, want_e, scores = np.zeros_like(observed), np.zeros_like(expected), []
+    for i, token in enumerate(tokens):
+        cell = int(maxent_lm.cell_of(np.array([token]))[0])
+        found = maxent_lm.contexts(tokens, offsets, i, i + 1)
+        total = 0.0
+        for level, (before, digit) in enumerate([(0, cell // 16), (1 + cell // 16, cell % 16)]):
+            rows = [int(maxent_lm.buckets(f, np.array([before]), 12)[0]) for f in found]
+            z = bias[before].astype(float) + sum(weights[r].astype(float) for r in rows)
+            p = np.exp(z) / np.exp(z).sum()
+            total += np.log(p[digit])
+            for r in rows:
+                want_o[r, digit] += 1
+                want_e[r] += p
+        scores.append(total)
+    assert np.array_equal(observed, want_o) and np.allclose(expected, want_e, atol=1e-5)
+    assert np.allclose(maxent_lm.log_probabilities(weights, bias, tokens, offsets), scores, atol=1e-4)
 
 
 # 8: toxicity
