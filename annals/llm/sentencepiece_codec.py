@@ -166,7 +166,7 @@ class Codec:
         import sentencepiece
 
         blob = open(model, "rb").read()
-        spec = next((v for f, v in _fields(blob) if f == 3), b"")
+        spec = b"".join(v for f, v in _fields(blob) if f == 3)  # repeated messages merge
         self.normalizer = Normalizer(spec)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
         # the same model again, with an identity normaliser: a later field of a message replaces an earlier one
