@@ -42,12 +42,10 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_warc(spark, sf_dir):
-    _, index, folder = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    found = saved(warc.read(warc.scan_index(index, folder), folder).drop("payload"), "records")
-    whole = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
-    revisit = found.where("record_type = 'revisit'").join(whole, (found["refers_to"] == whole["refers_to"]) & (F.col("payload_digest") == F.col("d"))).select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", found["refers_to"])
-    response = found.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("computed").alias("payload_digest"), "record_type", "refers_to")
-    return response.unionByName(revisit)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, _, folder = warc.archived(pages)
+    found = warc.read(saved(warc.located(folder, pages), "located"), folder)
+    return found.select("page_id", "payload_bytes", F.coalesce("computed", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def op5_token_tables(spark, sf_dir):

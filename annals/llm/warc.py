@@ -3,18 +3,19 @@
 Archives: one gzip member a record, one file a task. Of records with equal payloads of at least
 LEAST bytes the one with the smallest page id is a response, the others are revisits that refer to it.
 
-Index: captures sorted by reversed-host key (``com,example,www)/path``) are cut into blocks of LINES lines, each
-a gzip member of ``index-*.cdx.gz``; beside it ``index-*.dir`` has each block's first key, offset and
-size, the sparse directory. ``lookup`` finds the index file by its key range, bisects the directory, reads one block by
-its range, bisects the lines and reads the record by its range.
+Index: captures sorted by reversed-host key (``com,example,www)/path``) and page id are cut into blocks of LINES lines, each
+a gzip member of ``index-*.cdx.gz``; beside it ``index-*.dir`` has each block's first capture, offset and
+size, the sparse directory; ``index.top`` has the first capture of each index file. A search bisects the top, then the
+directory, reads one block by its range, bisects its lines and then reads the record by its range. ``lookup`` does so for urls,
+``located`` for the captures of pages; wanted keys are sorted first, so that neighbours share a block.
 
 Scale: page bodies are shuffled only if the revisits don't fit a broadcast (their written size decides); equal
-payloads meet as digests, a partial minimum whatever their number. Files are written under a name of
+payloads meet as digests, a partial minimum whatever their number. Records are read in ranges of READ_BYTES of the archives. Files are written under a name of
 the attempt and then moved, so lost and repeated tasks leave whole files only.
 
 Defined cases: null html is an empty payload; null urls have the empty key; control characters and blanks
 of urls are percent-encoded in archive and key; repeated page ids are records of their own (equal ones are both responses); pages
-without id get no record; an empty table gives no file and an empty result; other columns are not read.
+without id get no record; payloads of any length are whole, one at a time in memory; an empty table gives no file and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from annals.llm.common import batches_of, open_fs, saved, shared_folder
 
-LEAST, LINES, LEVEL = 100, 1024, 3
+LEAST, LINES, LEVEL, READ_BYTES = 100, 1024, 3, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -81,9 +82,10 @@ def parse(member: bytes) -> dict:
         raise ValueError("not a record")
     fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
     body = rest[: int(fields["content-length"])]
-    _, _, payload = body.partition(b"\r\n\r\n")
+    http, _, payload = body.partition(b"\r\n\r\n")
+    length = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     number = lambda x: int(x.rsplit(":", 1)[1].rstrip(">")) if x else None
-    return {"fields": fields, "page_id": number(fields["warc-record-id"]), "refers_to": number(fields.get("warc-refers-to")), "type": fields["warc-type"], "payload": payload, "digest": fields["warc-payload-digest"].split(":", 1)[1]}
+    return {"fields": fields, "page_id": number(fields["warc-record-id"]), "refers_to": number(fields.get("warc-refers-to")), "type": fields["warc-type"], "payload": payload, "length": length, "digest": fields["warc-payload-digest"].split(":", 1)[1]}
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -135,8 +137,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return saved(rows.mapInArrow(run, CAPTURE), "captures")
 
 
+_INDEX = "file string, first string, first_page long, blocks long, captures long"
+
+
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes index and directory files; (file, first, last, blocks, captures), a row a file."""
+    """Writes index, directory and top files; (file, first, first_page, blocks, captures), a row a file."""
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(it):
@@ -147,13 +152,14 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         stem = f"index-{task.partitionId():06d}"
         mine = f"{root}/.{stem}-{task.taskAttemptId()}"
-        out, at, held, directory, last, n = None, 0, [], [], "", 0
+        out, at, held, directory, n = None, 0, [], [], 0
 
         def flush():
             nonlocal at, held
             member = _member("".join(held).encode())
             out.write(member)
-            directory.append(f"{held[0].split(chr(9), 1)[0]}\t{at}\t{len(member)}\n")
+            key, page_id, _ = held[0].split("\t", 2)
+            directory.append(f"{key}\t{page_id}\t{at}\t{len(member)}\n")
             at += len(member)
             held = []
 
@@ -161,7 +167,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             for key, page_id, file, where, size in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 out = out or fs.open_output_stream(mine)
                 held.append(f"{key}\t{page_id}\t{file}\t{where}\t{size}\n")
-                last, n = key, n + 1
+                n += 1
                 if len(held) == LINES:
                     flush()
         if out is not None:
@@ -172,9 +178,22 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
                 d.write("".join(directory).encode())
             fs.move(f"{mine}d", f"{root}/{stem}.dir")
             fs.move(mine, f"{root}/{stem}.cdx.gz")
-            yield pa.RecordBatch.from_pylist([{"file": stem, "first": directory[0].split("\t")[0], "last": last, "blocks": len(directory), "captures": n}], schema=pa.schema([("file", pa.string()), ("first", pa.string()), ("last", pa.string()), ("blocks", pa.int64()), ("captures", pa.int64())]))
+            key, page_id, _ = directory[0].split("\t", 2)
+            yield pa.RecordBatch.from_pylist([{"file": stem, "first": key, "first_page": int(page_id), "blocks": len(directory), "captures": n}], schema=pa.schema([("file", pa.string()), ("first", pa.string()), ("first_page", pa.int64()), ("blocks", pa.int64()), ("captures", pa.int64())]))
+
+    index = saved(ordered.select("key", "page_id", "file", "at", "size").mapInArrow(run, _INDEX), "index")
 
-    return saved(ordered.select("key", "page_id", "file", "at", "size").mapInArrow(run, "file string, first string, last string, blocks long, captures long"), "index")
+    def top(it):
+        rows = sorted((f, k, p) for batch in it for f, k, p in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "first_page"))))
+        if rows:
+            fs, root = open_fs(folder)
+            with fs.open_output_stream(f"{root}/.index.top") as f:
+                f.write("".join(f"{k}\t{p}\t{file}\n" for file, k, p in rows).encode())
+            fs.move(f"{root}/.index.top", f"{root}/index.top")
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["files"])
+
+    index.select("file", "first", "first_page").repartition(1).mapInArrow(top, "files long").collect()  # a row a file of the index
+    return index
 
 
 def _range(f, at: int, size: int) -> bytes:
@@ -182,30 +201,86 @@ def _range(f, at: int, size: int) -> bytes:
     return f.read(size)
 
 
-def scan_index(index: DataFrame, folder: str) -> DataFrame:
-    """All captures, from the index files' blocks."""
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+class CaptureIndex:
+    """The index files of a folder, searched by bisection; the last directory and block read are kept."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = open_fs(folder)
+        rows = []
+        if self.fs.get_file_info(f"{self.root}/index.top").is_file:
+            with self.fs.open_input_stream(f"{self.root}/index.top") as f:
+                rows = [x.split("\t") for x in f.read().decode().split("\n")[:-1]]
+        self.firsts = [(k, int(p)) for k, p, _ in rows]
+        self.stems = [s for _, _, s in rows]
+        self.stem = self.number = self.file = None
+        self.reads = 0
+
+    def _directory(self, stem: str):
+        if stem != self.stem:
+            with self.fs.open_input_stream(f"{self.root}/{stem}.dir") as d:
+                rows = [x.split("\t") for x in d.read().decode().split("\n")[:-1]]
+            self.heads, self.ranges = [(k, int(p)) for k, p, _, _ in rows], [(int(a), int(n)) for _, _, a, n in rows]
+            if self.file is not None:
+                self.file.close()
+            self.file, self.stem, self.number = self.fs.open_input_file(f"{self.root}/{stem}.cdx.gz"), stem, None
+
+    def _block(self, k: int):
+        if k != self.number:
+            rows = [x.split("\t") for x in zlib.decompress(_range(self.file, *self.ranges[k]), 31).decode().split("\n")[:-1]]
+            self.keys, self.rest, self.number = [(r[0], int(r[1])) for r in rows], [(r[2], int(r[3]), int(r[4])) for r in rows], k
+            self.reads += 1
+
+    def find(self, key: str, page_id: int | None = None):
+        """(page_id, file, at, size) of the captures with this key, and page id if one is given."""
+        low, high = (key, LOWEST if page_id is None else page_id), (key, HIGHEST if page_id is None else page_id)
+        f = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while f < len(self.stems) and self.firsts[f] <= high:
+            self._directory(self.stems[f])
+            k = max(0, bisect.bisect_left(self.heads, low) - 1)
+            while k < len(self.heads) and self.heads[k] <= high:
+                self._block(k)
+                at = bisect.bisect_left(self.keys, low)
+                while at < len(self.keys) and self.keys[at] <= high:
+                    yield self.keys[at][1], *self.rest[at]
+                    at += 1
+                k += 1
+            f += 1
+
+
+def _keyed(pages: DataFrame, *more: str) -> DataFrame:
+    """(key, more) of pages (url, more)."""
 
     def run(it):
-        fs, root = open_fs(folder)
         for batch in it:
-            for stem in batch.column("file").to_pylist():
-                with fs.open_input_stream(f"{root}/{stem}.dir") as d:
-                    blocks = [x.split("\t") for x in d.read().decode().splitlines()]
-                with fs.open_input_file(f"{root}/{stem}.cdx.gz") as f:
-                    for _, at, size in blocks:
-                        rows = [x.split("\t") for x in zlib.decompress(_range(f, int(at), int(size)), 31).decode().split("\n")[:-1]]
-                        key, ids, file, where, n = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(list(map(int, ids)), pa.int64()), pa.array(file), pa.array(list(map(int, where)), pa.int64()), pa.array(list(map(int, n)), pa.int64())], names=["key", "page_id", "file", "at", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([reversed_host_key(u) for u in batch.column("url").to_pylist()], pa.string()), *[batch.column(c) for c in more]], names=["key", *more])
+
+    schema = pages.select(F.lit("").alias("key"), *more).schema
+    return pages.select("url", *more).mapInArrow(run, schema)
+
+
+def located(folder: str, pages: DataFrame) -> DataFrame:
+    """The captures (key, page_id, file, at, size) of pages (page_id, url), each searched in the index."""
+    wanted = _keyed(pages.where("page_id is not null").select("url", F.col("page_id").cast("long").alias("page_id")), "page_id").distinct()
+
+    def run(it):
+        index = CaptureIndex(folder)
+        for batch in it:
+            found = [(key, *x) for key, i in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist()) for x in index.find(key, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "at", "size"])
 
-    return index.select("file").repartition(max(1, index.count())).mapInArrow(run, CAPTURE)
+    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, CAPTURE)
 
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, computed string, payload_digest string"
 
 
 def read(captures: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """The records of captures by range reads, file by file in order: page_id, url, record_type, refers_to, payload (if asked for), payload_bytes and computed (digest) of what is there, payload_digest as declared."""
-    want = captures.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
+    """The records of captures by range reads, file by file in order: page_id, url, record_type, refers_to, payload (if asked for), payload_bytes (as read; of a revisit as its HTTP header has it), computed (digest of what is there), payload_digest as declared. captures: written ones."""
+    parts = 1 + (captures.agg(F.sum("size")).first()[0] or 0) // READ_BYTES
+    want = captures.select("file", "at", "size").repartitionByRange(parts, "file", "at").sortWithinPartitions("file", "at")
 
     def run(it):
         fs, root = open_fs(folder)
@@ -220,38 +295,25 @@ def read(captures: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                         open_now, f = file, fs.open_input_file(f"{root}/{file}")
                     r = parse(_range(f, at, size))
                     there = r["payload"]
-                    rows.append((r["page_id"], r["fields"].get("warc-target-uri"), r["type"], r["refers_to"], there if payload else None, len(there) if r["type"] == "response" else None, hashlib.sha256(there).hexdigest() if r["type"] == "response" else None, r["digest"]))
+                    rows.append((r["page_id"], r["fields"].get("warc-target-uri"), r["type"], r["refers_to"], there if payload else None, len(there) if r["type"] == "response" else r["length"], hashlib.sha256(there).hexdigest() if r["type"] == "response" else None, r["digest"]))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     return want.mapInArrow(run, RECORD)
 
 
-def lookup(index: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
-    """The captures of urls (url): directory and block are searched by bisection, one block a url is read (more if a key fills several)."""
-    key = F.udf(reversed_host_key, "string")
-    pairs = urls.select("url", key("url").alias("key")).join(index.select("file", "first", "last"), F.col("key").between(F.col("first"), F.col("last"))).select("url", "key", "file")
+def lookup(folder: str, urls: DataFrame) -> DataFrame:
+    """The captures (url, key, page_id, file, at, size) of urls (url), by the index; a key with many captures is read on from its first block."""
+    wanted = _keyed(urls.select("url", F.col("url").alias("asked")), "asked").repartitionByRange("key").sortWithinPartitions("key")
 
     def run(it):
-        fs, root = open_fs(folder)
+        index = CaptureIndex(folder)
         for batch in it:
-            found = []
-            for url, key, stem in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                with fs.open_input_stream(f"{root}/{stem}.dir") as d:
-                    blocks = [x.split("\t") for x in d.read().decode().splitlines()]
-                k = max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1)
-                with fs.open_input_file(f"{root}/{stem}.cdx.gz") as f:
-                    while k < len(blocks) and blocks[k][0] <= key:
-                        lines = [x.split("\t") for x in zlib.decompress(_range(f, int(blocks[k][1]), int(blocks[k][2])), 31).decode().split("\n")[:-1]]
-                        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                        while at < len(lines) and lines[at][0] == key:
-                            found.append((url, key, int(lines[at][1]), lines[at][2], int(lines[at][3]), int(lines[at][4])))
-                            at += 1
-                        k += 1
+            found = [(url, key, *x) for key, url in zip(batch.column("key").to_pylist(), batch.column("asked").to_pylist()) for x in index.find(key)]
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["url", "key", "page_id", "file", "at", "size"])
 
-    return pairs.mapInArrow(run, f"url string, {CAPTURE}")
+    return wanted.mapInArrow(run, f"url string, {CAPTURE}")
 
 
 def archived(pages: DataFrame) -> tuple[DataFrame, DataFrame, str]:
