@@ -5,13 +5,14 @@ lower case) and the log-odds of the categories before it. For training these log
 each comes from models that did not see the row. The last category decides; its threshold is
 the one with the best F1 on out-of-fold predictions.
 
-Bounds: models are fitted on at most LABELLED labelled rows (those of smallest id hash) and WORDS words a category (by
+Bounds: models are fitted on at most LABELLED labelled ids of the documents given (those of smallest hash, found by a histogram of
+hashes, so that no task sorts them all) and WORDS words a category (by
 the z-score of their document counts, LEAST_Z at least, in at least LEAST documents); these two are the only things the driver
 holds. Word counts over the labelled rows are made by a partial aggregation. Every document is scored in
 full, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no words and get the base rate; null ids are scored too; repeated ids
-are scored row by row; rows with a null label are not used for that category; without any labelled row,
+are scored row by row (one of their texts, the one whose sorted words come first, is fitted on); texts of any length are reduced to their distinct words; rows with a null label are not used for that category; without any labelled row,
 or with one class only, the category's probability is its base rate (0 without rows) and nothing is rejected; an empty table
 gives an empty result; other columns are kept by ``accepted``.
 """
@@ -113,12 +114,28 @@ def train(names: list[str], words: list[str], ids: list[np.ndarray], labels: np.
     return Chain(names, {w: i for i, w in enumerate(words)}, weights, threshold)
 
 
+def _smallest(marked: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those of smallest id hash; whole bins of hashes, and a sorted part of one more."""
+    total = marked.count()
+    if total <= most:
+        return marked
+    number = F.shiftright(F.xxhash64("doc_id"), 48)
+    bins = sorted((r.bin, r.n) for r in marked.groupBy(number.alias("bin")).agg(F.count("*").alias("n")).collect())  # 2**16 rows at most
+    held = 0
+    for bound, n in bins:
+        if held + n > most:
+            break
+        held += n
+    last = marked.where(number == bound).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most - held)
+    return saved(marked.where(number < bound).unionByName(last), "labels")
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain:
     """A chain for categories: name -> SQL for a 0/1 label over labels (doc_id, ...), in order."""
     names = list(categories)
     marked = labels.where("doc_id is not null").select("doc_id", *[F.expr(s).cast("double").alias(n) for n, s in categories.items()])
     marked = marked.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
-    marked = saved(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labels")
+    marked = _smallest(saved(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels"), LABELLED)
     rows = docs.select("doc_id", "text").join(marked, "doc_id")
 
     def split(it):
@@ -128,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *names)], pa.array(found, pa.list_(pa.string()))], names=["doc_id", *names, "words"])
 
     schema = ", ".join(["doc_id long", *[f"{n} double" for n in names], "words array<string>"])
-    rows = saved(rows.select(F.col("doc_id").cast("long"), "text", *names).mapInArrow(split, schema), "labelled")
+    rows = rows.select(F.col("doc_id").cast("long"), "text", *names).mapInArrow(split, schema)
+    # of repeated ids one text, so that there are LABELLED rows at most
+    rows = saved(rows.groupBy("doc_id").agg(F.min(F.struct(*names, "words")).alias("s")).select("doc_id", "s.*"), "labelled")
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names]).first()
     counts = rows.select(*names, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names]).where(F.col("n") >= LEAST)
     counts = saved(counts, "words")
@@ -145,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
             ids = [np.array(sorted(index[w] for w in x if w in index), np.int32) for x in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *names)], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", *names, "ids"])
 
-    # at most LABELLED rows (more only if ids repeat) of at most WORDS * categories numbers
+    # at most LABELLED rows of at most WORDS * categories numbers
     got = rows.mapInArrow(number, schema.replace("words array<string>", "ids array<int>")).orderBy("doc_id").toPandas()
     fold = (got["doc_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
     return train(names, words, [np.asarray(x, np.int64) for x in got["ids"]], got[names].to_numpy(float).reshape(len(got), len(names)), fold)
