@@ -14,7 +14,8 @@ The text: character references decoded, white space inside a block turned into o
 trimmed and joined by one line feed in page order; a line break element separates blocks.
 
 Defined cases: null and empty pages give an empty text; text without any element is main text; unclosed and
-wrongly closed elements are closed where their parents are; repeated rows and ids are pages of their
+wrongly closed elements are closed where their parents are, skipped ones (``RAW``) without end too, but scripts, styles and text areas
+at the page's end; elements may be nested to any depth; repeated rows and ids are pages of their
 own; other columns are not read; an empty table gives an empty result; nothing is cut from long pages.
 """
 
@@ -36,7 +37,8 @@ _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
-RAW = frozenset("script style noscript template svg iframe object canvas textarea select math audio video".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select audio video".split())
+TO_THE_END = frozenset("script style textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html head title body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption nav header footer aside form fieldset button label legend address details summary dialog center hgroup menu caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -77,6 +79,12 @@ class Page:
         stack, names, links, at, n = [0], ["html"], 0, 0, len(source)
         pieces, linked = self.pieces, self.linked
         lower = None
+        opened = {"html": 1}
+
+        def shut_last():
+            opened[names.pop()] -= 1
+            stack.pop()
+
         while at < n:
             m = _TAG.search(source, at)
             start = m.start() if m else n
@@ -96,17 +104,22 @@ class Page:
                 elif name in BLOCKS:
                     pieces.append((-1, ""))
                     linked.append(False)
-                    if name in names and name != "html":
+                    if opened.get(name) and name != "html":
                         while names[-1] != name:
-                            stack.pop(), names.pop()
-                        stack.pop(), names.pop()
+                            shut_last()
+                        shut_last()
                 continue
             if name in RAW:
                 if not m[0].endswith("/>"):
                     lower = source.lower() if lower is None else lower
                     end = lower.find(f"</{name}", at)
                     close = source.find(">", end) if end >= 0 else -1
-                    at = n if close < 0 else close + 1
+                    if close >= 0:
+                        at = close + 1
+                    elif name in TO_THE_END:
+                        at = n
+                    else:  # never closed: up to the parent's end, if that has one
+                        at = max(at, lower.find(f"</{names[-1]}", at))
                 continue
             if name == "a":
                 links += not m[0].endswith("/>")
@@ -120,15 +133,15 @@ class Page:
             pieces.append((-1, ""))
             linked.append(False)
             if name in _NO_P and names[-1] == "p":
-                stack.pop(), names.pop()
+                shut_last()
             shut = CLOSES.get(name)
             if shut and names[-1] in shut:
-                stack.pop(), names.pop()
+                shut_last()
                 if name == "tr" and names[-1] == "tr":
-                    stack.pop(), names.pop()
-            if name == "body" and "head" in names:
+                    shut_last()
+            if name == "body" and opened.get("head"):
                 while names[-1] != "html":
-                    stack.pop(), names.pop()
+                    shut_last()
             found = ()
             if m[3]:
                 found = tuple(t for a in _ATTR.findall(m[3]) for t in _TOKEN.findall((a[1] or a[2] or a[3]).lower()))
@@ -138,8 +151,7 @@ class Page:
             self.tokens.append(found)
             stack.append(len(self.tag) - 1)
             names.append(name)
-            if len(stack) > 2000:  # absurd nesting: deeper elements are siblings
-                stack.pop(), names.pop()
+            opened[name] = opened.get(name, 0) + 1
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -333,7 +345,7 @@ def practice_page(seed: int) -> str:
         if x < 0.70:
             return f"<p{main}>{r.choice(('', '', '<b>'))}{prose()}{r.choice(('', '', '<br>'))}</p>"
         if x < 0.78:
-            return f"<{(h := r.choice(('h2', 'h3')))}{main}>{words(2, 8)}</{h}>"
+            return f"<{(h := r.choice(('h2', 'h3')))}{main}>{words(1, 8)}</{h}>"
         if x < 0.85:
             return f"<ul{main}>" + "".join(f"<li{main}>{words(3, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
         if x < 0.90:
@@ -344,13 +356,14 @@ def practice_page(seed: int) -> str:
             return f"<div{main}>{prose()}</div>"
         return f"<pre{main}>{words(3, 20)}</pre>"
 
-    title = words(2, 12)
+    title = words(1, 12)
     head = r.choice((f"<h1{main}>{title}</h1>", f"<h1{main}>{title}</h1>", f"<header{main}><h1{main}>{title}</h1></header>", ""))
     inside = [block() for _ in range(r.choice((1, 2, 3, 5, 8, 13, 20)))]
     if r.random() < 0.25:
         inside.insert(r.randint(0, len(inside)), junk())
     holder = r.choice(("article", "article", "article", "main", "div", "section"))
-    mark = name("content", "post", "entry-content", "article-body", "story") if holder in ("div", "section") else r.choice(("", "", name("post", "entry")))
+    state = r.choice(("", "", " no-comments", " comments-off", " has-sidebar", " with-header", " related-off", " no-ads", " menu-closed", " social-hidden"))
+    mark = name(*(x + state for x in ("content", "post", "entry-content", "article-body", "story", "article"))) if holder in ("div", "section") else r.choice(("", "", name("post" + state, "entry" + state)))
     body = f"<{holder}{mark}{main}>{head}{''.join(inside)}</{holder}>"
     for _ in range(r.choice((0, 0, 1, 2))):
         body = f"<div{name('container', 'wrapper', 'page', 'row', 'main')}{main}>{junk() if r.random() < 0.4 else ''}{body}{junk() if r.random() < 0.4 else ''}</div>"
