@@ -14,7 +14,7 @@ from annals.llm import html_main_text, maxent_lm, mixing, near_dedup, quality_ru
 from annals.llm.common import saved
 from annals.session import table
 
-from . import brute
+from . import brute, pages
 
 
 def pairs(df, *names):
@@ -319,15 +319,39 @@ def odd_pages(spark):
 def test_archived_odd_pages_and_lookup(spark):
     pages = odd_pages(spark)
     captures, index, folder = warc.archived(pages)
-    found = warc.read(warc.scan_index(index, folder), folder, payload=True)
+    found = warc.read(saved(warc.located(folder, pages), "located"), folder, payload=True)
+    assert {r.page_id: bytes(r.payload) for r in found.where("record_type = 'response'").collect()} == {i: (h or "").encode() for i, h in pairs(pages, "page_id", "html") if truth_type(pages, i) == "response"}
     truth = brute.archive(pairs(pages, "page_id", "html"))
     assert {r.page_id: r.record_type for r in found.collect()} == {i: x[2] for i, x in truth.items()}
     asked = spark.createDataFrame([("http://a.example/x",), ("http://nowhere.example/",), (None,)], "url string")
-    hits = warc.lookup(index, folder, asked)
+    hits = warc.lookup(folder, asked)
     assert {r.page_id for r in hits.collect()} == {1, 2, 3, 4, 10}
     assert warc.archived(pages.limit(0))[0].count() == 0
 
 
+def truth_type(pages, i):
+    return brute.archive(pairs(pages, "page_id", "html"))[i][2]
+
+
+def test_captures_are_found_by_bisection(spark, monkeypatch):
+    """A key that fills several blocks, pages with equal keys and ids: few blocks are read, none twice for neighbours; a damaged directory is noticed."""
+    monkeypatch.setattr(warc, "LINES", 8)
+    rows = [(i, f"http://h{i % 7}.example/{i % 13}", "x") for i in range(300)] + [(1000 + i, "http://same.example/", "x") for i in range(40)] + [(5, "http://h5.example/5", "x")] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    captures = warc.write(pages, folder := warc.shared_folder(spark, "warc"))
+    warc.build_index(captures, folder)
+    index = warc.CaptureIndex(folder)
+    lines = sorted(pairs(captures, "key", "page_id", "file", "at", "size"))
+    for key in {x[0] for x in lines}:
+        assert sorted(index.find(key)) == [x[1:] for x in lines if x[0] == key]
+    index.reads = 0
+    assert len(list(index.find("example,h5)/5", 5))) == 21 and index.reads <= 5
+    index.reads = 0
+    assert len(list(index.find("example,same)/", 1007))) == 1 and index.reads <= 2
+    assert not list(index.find("zz")) and not list(index.find("")) and not list(index.find("example,same)/", 7))
+    assert sorted(pairs(warc.located(folder, pages), "key", "page_id", "file", "at", "size")) == lines
+
+
 def test_reversed_host_keys():
     assert warc.reversed_host_key("http://www.Example.com:80/A?b#c") == "com,example,www)/A?b"
 
@@ -401,6 +425,24 @@ def test_top_k_odd_rows(spark):
     assert topk.join(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(150)]
+    rows += [(200, [1e8, -1e8, 3.5, 0.25]), (201, [1e8, 1e8, 1.0, 1.0]), (202, [1e30, 1.0, 0.0, 0.0]), (250, [-1e30, 2.0, 1.0, 1.0]), (203, [1e8, 1e8, 1.0, 1.25])]
+    repeated = [(50, rows[50][1]), (7, rows[7][1]), (7, [99.0, 99.0, 99.0, 99.0])]
+    assert rows[7][1] < repeated[2][1]
+    df = spark.createDataFrame(rows + repeated, "vec_id long, embedding array<double>")
+    want = [(q, r, i, min(2**63 - 1, max(-(2**63), s))) for q, r, i, s in brute.top_k(rows, lambda i: i % 50 == 0, 5)]
+    assert sorted(pairs(topk.join(df, F.col("vec_id") % 50 == 0, 5, 256), "query_id", "rank", "vec_id", "score")) == want
+    worst = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e308, 2.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    assert sorted(pairs(topk.join(worst, F.col("vec_id") == 0, 5, 256), "rank", "vec_id")) == [(1, 1), (2, 2)]
+
+
+def test_keys_sort_as_scores():
+    scores = [-(2**200), -(2**64) - 1, -(2**64), -(2**63), -5, 0, 3, 2**63 - 1, 2**63, 2**64 + 1, 2**200]
+    assert [topk.sort_key(s) for s in scores] == sorted(topk.sort_key(s) for s in scores)
+
+
 # 7: language model
 
 
@@ -497,6 +539,26 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, small):
     assert toxicity.score(docs, none).where("toxic").count() == 0
 
 
+def test_chain_is_that_of_a_plain_loop(spark):
+    """Scores of a trained chain against a loop over words and categories."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(30)]
+    ids = [np.unique(rng.integers(0, 30, 8)) for _ in range(200)]
+    labels = np.stack([[float(3 in x) for x in ids], [float(3 in x and 5 in x) for x in ids]], axis=1)
+    chain = toxicity.train(["a", "b"], words, ids, labels, np.arange(200) % 5)
+    for z, x in zip(chain.log_odds(ids), ids):
+        first = chain.weights[0][0] + sum(chain.weights[0][1][i] for i in x)
+        second = chain.weights[1][0] + sum(chain.weights[1][1][i] for i in x) + chain.weights[1][2][0] * first
+        assert np.allclose(z, [first, second])
+    assert chain.weights[1][2][0] != 0  # the earlier category feeds the later model
+
+
+def test_labelled_rows_are_those_of_smallest_hash(spark):
+    marked = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1.0).alias("toxic"))
+    want = {r.doc_id for r in marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(700).collect()}
+    assert {r.doc_id for r in toxicity._smallest(marked, 700).collect()} == want
+
+
 # 9: main text
 
 
@@ -526,6 +588,28 @@ def test_main_text_of_unseen_practice_pages():
     assert right >= 0.99 * total
 
 
+@pytest.mark.parametrize("name", list(pages.ALL))
+def test_main_text_of_pages_written_by_hand(name):
+    source, text = pages.ALL[name]
+    assert html_main_text.main_texts([source], html_main_text.model()) == [text]
+
+
+def test_decoding_is_the_best_of_all_consistent_choices():
+    """Against every set of nodes with all parents in it, on random trees of up to nine nodes."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(2, 10))
+        page = html_main_text.Page("")
+        page.tag, page.parent = ["div"] * n, [-1, *(int(rng.integers(0, k)) for k in range(1, n))]
+        z = rng.normal(size=n) * 2
+        value = lambda kept: sum(-np.logaddexp(0, -x) if k else -np.logaddexp(0, x) for x, k in zip(z, kept))
+        sets = [(True, *c) for c in itertools.product((False, True), repeat=n - 1)]
+        best = max((s for s in sets if all(s[page.parent[k]] or not s[k] for k in range(1, n))), key=value)
+        assert tuple(page.decode(z)) == best
+
+
 def test_decoding_keeps_no_child_of_a_dropped_node():
     page = html_main_text.Page(ARTICLE)
     rng = np.random.default_rng(4)
@@ -534,7 +618,7 @@ def test_decoding_keeps_no_child_of_a_dropped_node():
 
 
 def test_main_text_of_odd_pages(spark):
-    rows = [(1, "u", None), (2, None, ""), (3, "u", "just text"), (4, "u", "<p>a<p>b"), (5, "u", "<div>" * 5000 + "deep"), (6, "u", "<!-- never closed"), (6, "u", "<script>never closed")]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "just text"), (4, "u", "<p>a<p>b"), (5, "u", "<div>" * 50_000 + "deep"), (6, "u", "<!-- never closed"), (6, "u", "<script>never closed")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
     got = sorted(pairs(html_main_text.extract(df), "page_id", "text", "n_chars"))
     assert len(got) == 7 and got[0] == (1, "", 0) and got[2][1] == "just text"
