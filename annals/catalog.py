@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from annals.functions import scalars  # noqa: F401
-from annals.operators import aggregates, alignment, filters, trees, walks  # noqa: F401
+from annals.operators import aggregates, alignment, filters, storage, trees, walks  # noqa: F401
 from annals.registry import ORACLES, QUERIES
 from annals.streaming import feeds  # noqa: F401
 
