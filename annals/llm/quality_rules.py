@@ -5,8 +5,8 @@ Each text is reduced to five statistics, transformed so that ordinary texts are
 ==  =========================================  ==========
 x1  ln of the mean word length                 floor 0.02
 x2  ln(1 + 10 * symbols a word)                floor 0.05
-x3  share of lines equal to an earlier one     floor 0.05
-x4  share of words in repeated 3-word windows  floor 0.05
+x3  lines equal to an earlier one, of n + 3    floor 0.05
+x4  words in repeated 3-word windows, of n+50  floor 0.05
 x5  ln(1 + 100 * share of capitals)            floor 0.05
 ==  =========================================  ==========
 
@@ -21,6 +21,10 @@ degrees, after distances are scaled by their median. That never makes them large
 median is small because fewer than five degrees vary. Where clean texts have next to no repeats, x3 or x4 alone
 rejects from 0.26 on.
 
+Shares of few words or lines are uncertain: a single repeated line of three says little. So x3 and x4 count FEW_LINES and
+FEW_WORDS more than there are, and a text's distance is taken n / (n + FEW_WORDS) times, as if its deviation were drawn towards the
+centre by so many ordinary words.
+
 Scale: statistics are whole numbers (thousandths), so sums are exact and results repeat; every
 estimate is a partial aggregation over (group, start) - a hot source costs no more than others - and the
 distance cut is read from a histogram of at most ~2,000 bins a group, not from sorted rows. Texts are
@@ -41,12 +45,14 @@ from annals.llm.common import BLANKS, SPLIT, saved
 P = 5
 FLOORS = (20, 50, 50, 50, 50)  # thousandths
 SUBSET = 0.75
-STEPS = 3
+#: C-steps go on until no log determinant moves by more than SETTLED; each can only lower it but for the histogram's bins.
+MOST_STEPS, SETTLED = 12, 0.01
 LEAST = 60
 #: The 0.9999 quantile of chi-squared with five degrees.
 CUTOFF = 25.745
 MEDIAN_CHI2 = 4.351
 LEAST_WORDS, MOST_REPEATED = 50, 50
+FEW_WORDS, FEW_LINES = 50, 3
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -101,8 +107,8 @@ def _vectors(stats: DataFrame) -> DataFrame:
     x = (
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         F.log1p(10 * F.col("n_symbols") / n),
-        F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1)),
-        F.col("n_repeat_words") / n,
+        F.col("n_dup_lines") / (F.col("_lines") + FEW_LINES),
+        F.col("n_repeat_words") / (n + FEW_WORDS),
         F.log1p(100 * F.col("_capitals") / F.greatest(F.col("word_chars"), F.lit(1))),
     )
     return stats.select("*", *[F.round(1000 * v).cast("long").alias(f"x{i}") for i, v in enumerate(x, 1)])
@@ -181,10 +187,14 @@ def estimates(vectors: DataFrame) -> DataFrame:
             mad = mad.withColumn(f"c{i}{j}", F.lit(0.0))
     b = _whitened(mad, ["grp"]).withColumn("start", F.lit(1))
     now = saved(a.unionByName(b), "start")
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
+        before = now.select("grp", "start", F.col("logdet").alias("was"))
         near = spread.join(now, "grp").withColumn("d2", _distance())
         kept = near.join(_cut(near, SUBSET, "most"), ["grp", "start"]).where(F.expr(_BIN) <= F.col("most"))
         now = saved(_from_moments(kept.groupBy("grp", "start").agg(*_moments()), ["grp", "start"]), "step")
+        moved = now.join(before, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
     best = now.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     final = now.join(best, ["grp", "start"])
     middle = _cut(spread.join(final, "grp").withColumn("d2", _distance()), 0.5, "middle")
@@ -210,7 +220,7 @@ def _judged(docs: DataFrame, tag: bool = False) -> DataFrame:
     whole = found.where("grp = 'a'").select(F.struct(*[c for c in found.columns if c != "grp"]).alias("ea"), F.lit("a").alias("_a"))
     out = rows.withColumn("_a", F.lit("a")).join(named("_cell"), "_cell", "left").join(named("_lang"), "_lang", "left").join(whole, "_a", "left")
     out = out.withColumn("e", F.coalesce("e_cell", "e_lang", "ea")).select(*rows.columns, "e.*")
-    out = out.withColumn("distance", _distance() / F.col("scale"))
+    out = out.withColumn("distance", _distance() / F.col("scale") * F.col("n_words") / (F.col("n_words") + FEW_WORDS))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF)))
 
 

@@ -112,3 +112,45 @@ def mix_targets(sizes, weights=(3, 1, 2), share=Fraction(3, 2), limit=2):
         left -= sum(out[s] for s in over)
         open_ = [s for s in open_ if s not in over]
     return out
+
+
+def robust_distances(rows, floors=(20, 50, 50, 50, 50), least=60, subset=0.75, few=50):
+    """doc_id -> distance for rows (doc_id, n_words, cell, lang, x) of texts that pass the base rules; minimum covariance determinant by exact C-steps until they settle."""
+    import numpy as np
+
+    floor = np.diag(np.array(floors, float) ** 2)
+
+    def spread(x, mean):
+        d = x - mean
+        return d.T @ d / len(x) + floor
+
+    def estimate(x):
+        middle = np.sort(x, axis=0)[(len(x) - 1) // 2]
+        away = np.minimum(np.abs(x - middle), 5 * np.array(floors)).mean(axis=0)
+        best = None
+        for mean, scatter in ((x.mean(axis=0), spread(x, x.mean(axis=0))), (middle, np.diag(away**2) + floor)):
+            for _ in range(50):
+                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+                near = x[d <= np.sort(d)[int(np.ceil(subset * len(x))) - 1]]
+                new = near.mean(axis=0), spread(near, near.mean(axis=0))
+                if np.allclose(new[1], scatter):
+                    break
+                mean, scatter = new
+            if best is None or np.linalg.det(scatter) < np.linalg.det(best[1]):
+                best = mean, scatter
+        d = np.einsum("ij,jk,ik->i", x - best[0], np.linalg.inv(best[1]), x - best[0])
+        return best[0], np.linalg.inv(best[1]), max(1.0, np.median(d) / 4.351)
+
+    groups: dict = {}
+    for _, _, cell, lang, x in rows:
+        for g in (("c", cell), ("l", lang), "a"):
+            groups.setdefault(g, []).append(x)
+    found = {g: estimate(np.array(x, float)) for g, x in groups.items() if len(x) >= least}
+    out = {}
+    for i, n, cell, lang, x in rows:
+        g = next((g for g in (("c", cell), ("l", lang), "a") if g in found), None)
+        if g is not None:
+            mean, inverse, scale = found[g]
+            d = np.array(x, float) - mean
+            out[i] = d @ inverse @ d / scale * n / (n + few)
+    return out

@@ -295,6 +295,17 @@ def test_repeats_alone_reject(spark):
     assert sum(got[i][0] for i in range(300)) >= 0.99 * 300
 
 
+def test_verdicts_are_those_of_a_plain_estimate(spark, small):
+    """Distances beside exact C-steps in numpy; verdicts agree wherever the plain distance isn't within a fifth of the cut."""
+    got = quality_rules._judged(table(spark, small, "documents")).where("not base_failed").collect()
+    plain = brute.robust_distances([(r.doc_id, r.n_words, r._cell, r._lang, [r.x1, r.x2, r.x3, r.x4, r.x5]) for r in got])
+    assert len(plain) == len(got)
+    clear = [r for r in got if abs(plain[r.doc_id] / quality_rules.CUTOFF - 1) > 0.2]
+    assert len(clear) >= 0.97 * len(got)
+    assert [r.doc_id for r in clear if r.kept != (plain[r.doc_id] <= quality_rules.CUTOFF)] == []
+    assert np.median([abs(r.distance - plain[r.doc_id]) / (1 + plain[r.doc_id]) for r in got]) < 0.15
+
+
 def test_quality_keeps_clean_labelled_documents(spark, small):
     marked = quality_rules.judge(table(spark, small, "documents")).join(table(spark, small, "labels"), "doc_id").where("not base_failed")
     good = marked.where("quality = 1 and toxic = 0")
