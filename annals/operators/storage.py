@@ -65,7 +65,7 @@ def multi_pack_store(spark, sf_dir):
     packs.write_multi_index(packs.indexes(spark, folder), folder).collect()  # sixteen rows
     store = packs.multi_index(spark, folder)
     whole = packs.objects(store, folder, data=False)
-    return whole.agg(F.count_distinct("oid").alias("objects"), (F.count_if("problem is not null") == 0).alias("fine"))
+    return whole.agg(F.count_distinct("oid").alias("objects"), (F.count_if(F.col("problem").isNotNull()) == 0).alias("fine"))
 
 
 @query("SELECT DISTINCT oid, 'blob' AS type, size FROM blobs WHERE doc_id % 4 = 0")
