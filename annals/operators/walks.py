@@ -84,7 +84,7 @@ def ahead_behind(spark, sf_dir):
 @query("d(oid, depth) AS (SELECT a, 0 FROM tip UNION SELECT parent, depth + 1 FROM d JOIN edges ON child = d.oid WHERE depth < 9) SELECT oid, CAST(min(depth) AS BIGINT) AS depth FROM d GROUP BY oid")
 def depth_limited(spark, sf_dir):
     """Ten levels of a shallow copy."""
-    return depths(edges(spark, sf_dir), [tips(spark, sf_dir)[0]]).where("value < 10").select("oid", F.col("value").alias("depth"))
+    return depths(edges(spark, sf_dir), [tips(spark, sf_dir)[0]], most=9).select("oid", F.col("value").alias("depth"))
 
 
 @query("g(oid, n) AS (SELECT oid, 1 FROM commits WHERE oid NOT IN (SELECT child FROM edges) UNION SELECT child, n + 1 FROM g JOIN edges ON parent = g.oid) SELECT oid, CAST(max(n) AS BIGINT) AS generation FROM g GROUP BY oid")

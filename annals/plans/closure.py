@@ -87,11 +87,11 @@ def reach(edges: DataFrame, start: list[int] | DataFrame, small: int = SMALL) ->
     return carry(edges, tips.select("oid", F.lit(1).alias("value")), small).select("oid")
 
 
-def _depths(ids, starts, parents, tips, values):
+def _depths(ids, starts, parents, tips, values, most=None):
     depth = np.full(len(ids), -1, np.int64)
     depth[tips] = 0
     front, k = np.unique(tips), 0
-    while len(front):
+    while len(front) and (most is None or k < most):
         k += 1
         _, to = _out(starts, parents, front)
         front = np.unique(to[depth[to] < 0])
@@ -99,15 +99,15 @@ def _depths(ids, starts, parents, tips, values):
     return ids, depth, depth >= 0
 
 
-def depths(edges: DataFrame, start: list[int], small: int = SMALL) -> DataFrame:
-    """(oid, value): the fewest steps from the start."""
+def depths(edges: DataFrame, start: list[int], small: int = SMALL, most: int | None = None) -> DataFrame:
+    """(oid, value): the fewest steps from the start; with most, commits farther away aren't walked."""
     spark = edges.sparkSession
     tips = spark.createDataFrame([(int(s), 0) for s in start], "oid long, value long")
     if _is_small(edges, small):
-        return _one_task(edges, tips, _depths, "oid long, value long")
+        return _one_task(edges, tips, lambda *graph: _depths(*graph, most=most), "oid long, value long")
     known = front = tips
     k = 0
-    while not front.isEmpty():
+    while not front.isEmpty() and (most is None or k < most):
         k += 1
         found = front.join(edges, front["oid"] == edges["child"]).select(F.col("parent").alias("oid")).distinct()
         front = written(found.join(known, "oid", "left_anti").withColumn("value", F.lit(k).cast("long")), "front")

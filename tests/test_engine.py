@@ -51,7 +51,7 @@ def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(2000):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
-        found = alignment.matches(list(a), list(b))
+        found = alignment.matches(list(a), list(b), "shortest")
         assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
         assert len(found) == longest(a, b), (a, b)
 
