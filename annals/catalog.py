@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from annals.functions import raw, scalars  # noqa: F401
-from annals.operators import aggregates, alignment, blame, filters, logs, merging, renames, storage, trees, walks  # noqa: F401
+from annals.operators import aggregates, alignment, blame, commands, filters, logs, merging, renames, storage, trees, walks  # noqa: F401
 from annals.registry import ORACLES, QUERIES
 from annals.streaming import feeds  # noqa: F401
 
