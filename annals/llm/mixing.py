@@ -118,7 +118,8 @@ def _numbered(drawn: DataFrame, quota: DataFrame, n: int) -> DataFrame:
     per = per.withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("lack", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
     per = saved(per.withColumn("overs", F.coalesce(F.sum("over").over(up), F.lit(0))).withColumn("lacks", F.coalesce(F.sum("lack").over(up), F.lit(0))), "drawn")
     place = F.row_number().over(Window.partitionBy("skey", "shard").orderBy("slot")) - 1
-    rows = drawn.withColumn("r", place).join(before, ["skey", "shard"]).select("shard", "slot", "skey", (F.col("before") + F.col("r")).alias("k"))
+    # neither side is to be broadcast, however small it seems: both grow with the input
+    rows = drawn.withColumn("r", place).join(before.hint("merge"), ["skey", "shard"]).select("shard", "slot", "skey", (F.col("before") + F.col("r")).alias("k"))
     rows = _by_source(rows, per.select("skey", "quota", "overs"), n)
     fine = rows.where("k < quota").select("shard", "slot", "skey", "k")
     # the surplus is of the order of the root of all slots; one row has all sources that lack some

@@ -46,7 +46,7 @@ P = 5
 FLOORS = (20, 50, 50, 50, 50)  # thousandths
 SUBSET = 0.75
 #: C-steps go on until no log determinant moves by more than SETTLED; each can only lower it but for the histogram's bins.
-MOST_STEPS, SETTLED = 12, 0.01
+MOST_STEPS, SETTLED = 6, 0.05
 LEAST = 60
 #: The 0.9999 quantile of chi-squared with five degrees.
 CUTOFF = 25.745
@@ -172,13 +172,25 @@ def _cut(rows: DataFrame, share: float, name: str) -> DataFrame:
     return up.where(F.col("upto") >= F.lit(share) * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias(name))
 
 
+#: The groups up to which their few numbers are broadcast.
+FEW_GROUPS = 20_000
+
+
+def _with_groups(spread: DataFrame, per: DataFrame) -> DataFrame:
+    """spread with the columns of per (at most a few rows a group): broadcast if there are few groups, else joined by group and a share of it, so that no group's rows are all in one task."""
+    if per.count() <= FEW_GROUPS:
+        return spread.join(F.broadcast(per), "grp")
+    shares = per.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15)))).hint("merge")
+    return spread.withColumn("share", F.pmod(F.xxhash64(*[f"x{i}" for i in range(1, P + 1)]), F.lit(16)).cast("int")).join(shares, ["grp", "share"]).drop("share")
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """The chosen location and whitening of each group with LEAST rows: grp, m.., w.., scale."""
     spread = vectors.where("not base_failed").select(F.explode(F.array("_cell", "_lang", F.lit("a"))).alias("grp"), *[f"x{i}" for i in range(1, P + 1)])
     plain = spread.groupBy("grp").agg(*_moments(), *[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"med{i}") for i in range(1, P + 1)]).where(F.col("n") >= LEAST)
     plain = saved(plain, "moments")
     a = _from_moments(plain, ["grp"]).withColumn("start", F.lit(0))
-    mad = spread.join(plain.select("grp", *[f"med{i}" for i in range(1, P + 1)]), "grp").groupBy("grp").agg(
+    mad = _with_groups(spread, plain.select("grp", *[f"med{i}" for i in range(1, P + 1)])).groupBy("grp").agg(
         *[F.min(f"med{i}").cast("double").alias(f"m{i}") for i in range(1, P + 1)],
         *[F.pow(F.avg(F.least(F.abs(F.col(f"x{i}") - F.col(f"med{i}")), F.lit(5 * FLOORS[i - 1]))), F.lit(2)).alias(f"c{i}{i}") for i in range(1, P + 1)],
     )
@@ -189,15 +201,17 @@ def estimates(vectors: DataFrame) -> DataFrame:
     now = saved(a.unionByName(b), "start")
     for _ in range(MOST_STEPS):
         before = now.select("grp", "start", F.col("logdet").alias("was"))
-        near = spread.join(now, "grp").withColumn("d2", _distance())
-        kept = near.join(_cut(near, SUBSET, "most"), ["grp", "start"]).where(F.expr(_BIN) <= F.col("most"))
+        near = _with_groups(spread, now).withColumn("d2", _distance())
+        cut = _cut(near, SUBSET, "most")
+        kept = near.join(F.broadcast(cut) if now.count() <= FEW_GROUPS else cut, ["grp", "start"]).where(F.expr(_BIN) <= F.col("most"))
         now = saved(_from_moments(kept.groupBy("grp", "start").agg(*_moments()), ["grp", "start"]), "step")
         moved = now.join(before, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
         if moved is None or moved < SETTLED:
             break
     best = now.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     final = now.join(best, ["grp", "start"])
-    middle = _cut(spread.join(final, "grp").withColumn("d2", _distance()), 0.5, "middle")
+    final = saved(final, "final")
+    middle = _cut(_with_groups(spread, final).withColumn("d2", _distance()), 0.5, "middle")
     return saved(final.join(middle, ["grp", "start"]).withColumn("scale", F.greatest(F.lit(1.0), F.expm1((F.col("middle") + 1) / 32) / MEDIAN_CHI2)).drop("logdet", "start", "middle"), "estimates")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from annals.llm.common import batches_of
 
-MEMO = 1_000_000
+MEMO = 300_000
 MEMO_CHARS = 48
 BLANK = "▁"
 
@@ -155,8 +155,10 @@ class Normalizer:
         """As normalize where no key of the map can match and blanks aren't squeezed."""
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         wide = len(BLANK.encode()) if self.escape else 1
-        back = np.repeat(np.arange(len(data)), np.where(data == 32, wide, 1)) if wide > 1 else np.arange(len(data))
-        back = np.concatenate([np.zeros(wide if self.prefix else 0, np.int64), back, [len(data)]])
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        back = np.arange(len(data) + 1, dtype=kind)
+        back = np.repeat(back, np.append(np.where(data == 32, np.int8(wide), np.int8(1)), np.int8(1))) if wide > 1 else back
+        back = np.concatenate([np.zeros(wide if self.prefix else 0, kind), back])
         made = text.replace(" ", BLANK) if self.escape else text
         return ((BLANK if self.escape else " ") + made if self.prefix else made), back
 

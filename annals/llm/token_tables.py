@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from annals.llm.common import batches_of, open_fs, saved, shared_folder
 
-MEMO, MEMO_CHARS = 1_000_000, 48
+MEMO, MEMO_CHARS = 300_000, 48
 BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"annalsT1"
