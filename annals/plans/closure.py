@@ -1,8 +1,10 @@
 """Closures over a commit graph.
 
-Each has two ways with the same result. Up to SMALL edges (counted first), the graph goes to one task that
+Each has two ways with the same result. Up to SMALL edges and as many commits asked for (both counted first), the graph goes to one task that
 walks arrays: few jobs, no rounds. Beyond it, a frontier loop of joins and partial aggregations, each round
-written to the shared folder; only the frontier moves, and nothing is collected.
+written to the shared folder; only the frontier moves, and nothing is collected. Before that loop ``carry`` and ``reach`` contract lines of commits
+with one child and one parent by pointer jumping, so that a line of n commits takes log2(n) rounds instead of n; what is
+left is often small enough for one task.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annals.plans.jump import ends
 from annals.plans.shared import written
 
 SMALL = 5_000_000
 
 
-def _is_small(edges: DataFrame, small: int) -> bool:
-    return edges.select("child").limit(small + 1).count() <= small
+def _is_small(edges: DataFrame, small: int, *others: DataFrame) -> bool:
+    return all(rows.limit(small + 1).count() <= small for rows in (edges.select("child"), *(o.select("oid") for o in others)))
 
 
 def _indexed(table: pa.Table):
@@ -66,11 +69,27 @@ def _carry(ids, starts, parents, tips, values):
     return ids, mask, mask != 0
 
 
-def carry(edges: DataFrame, tips: DataFrame, small: int = SMALL) -> DataFrame:
+def _contracted(edges: DataFrame, tips: DataFrame, small: int) -> DataFrame:
+    """carry with lines contracted: a commit with one child and one parent that is no tip has just its child's bits."""
+    pairs = written(edges.select("child", "parent").distinct(), "edges")
+    up = pairs.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1").select(F.col("child").alias("node"), "parent")
+    down = pairs.groupBy("parent").agg(F.count("*").alias("n"), F.min("child").alias("child")).where("n = 1").select(F.col("parent").alias("node"), "child")
+    inner = written(up.join(down, "node").join(tips.select(F.col("oid").alias("node")), "node", "left_anti"), "inner")
+    above = ends(inner.select("node", F.col("parent").alias("to")))
+    below = ends(inner.select("node", F.col("child").alias("to")))
+    outer = pairs.join(inner.select(F.col("node").alias("child")), "child", "left_anti")
+    short = outer.join(above.select(F.col("node").alias("parent"), "to"), "parent", "left").select("child", F.coalesce("to", "parent").alias("parent"))
+    found = written(carry(written(short, "short"), tips, small, contract=False), "outer")
+    return found.unionByName(below.join(found.select(F.col("oid").alias("to"), "value"), "to").select(F.col("node").alias("oid"), "value"))
+
+
+def carry(edges: DataFrame, tips: DataFrame, small: int = SMALL, contract: bool = True) -> DataFrame:
     """(oid, value): for every commit reachable from tips (oid, value: flag bits) the bits of the tips that reach it."""
     tips = tips.select(F.col("oid").cast("long"), F.col("value").cast("long"))
-    if _is_small(edges, small):
+    if _is_small(edges, small, tips):
         return _one_task(edges, tips, _carry, "oid long, value long")
+    if contract:
+        return _contracted(edges, tips, small)
     known = front = written(tips.groupBy("oid").agg(F.bit_or("value").alias("value")), "front")
     while not front.isEmpty():
         found = front.join(edges, front["oid"] == edges["child"]).groupBy("parent").agg(F.bit_or("value").alias("value"))
@@ -137,7 +156,7 @@ def _generations(ids, starts, parents, tips, values):
 def generations(edges: DataFrame, commits: DataFrame, small: int = SMALL) -> DataFrame:
     """(oid, value): 1 for roots, else one more than the largest of the parents."""
     nodes = commits.select(F.col("oid").cast("long"), F.lit(0).cast("long").alias("value"))
-    if _is_small(edges, small):
+    if _is_small(edges, small, nodes):
         return _one_task(edges, nodes, _generations, "oid long, value long")
     roots = commits.select("oid").join(edges.select(F.col("child").alias("oid")).distinct(), "oid", "left_anti")
     known = front = written(roots.withColumn("value", F.lit(1).cast("long")), "front")

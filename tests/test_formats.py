@@ -111,6 +111,12 @@ def test_reftables_by_name_prefix_and_object(reftable):
     assert not list(reftable.by_object(oid("none")))
 
 
+def test_columns_are_the_refs(reftable):
+    rows = [r for block in reftable.columns() for r in zip(*block)]
+    assert [rt.Ref(n.decode(), i, o and o.hex(), p, t) for n, i, _, o, p, t in rows] == list(reftable.refs_from())
+    assert [k for _, _, k, _, _, _ in rows] == [r.kind for r in reftable.refs_from()]
+
+
 def test_reftable_logs_are_newest_first(reftable):
     assert list(reftable.logs()) == sorted(LOGS, key=lambda x: (x.name, -x.index))
     name = "refs/heads/b00007"
