@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from annals.functions import raw, scalars  # noqa: F401
-from annals.operators import aggregates, alignment, blame, commands, filters, logs, merging, renames, storage, trees, walks  # noqa: F401
+from annals.functions import dates, raw, scalars  # noqa: F401
+from annals.operators import aggregates, alignment, bitmaps, blame, commands, filters, levels, logs, merging, renames, storage, trees, walks  # noqa: F401
 from annals.registry import ORACLES, QUERIES
+from annals.sources import tables  # noqa: F401
 from annals.streaming import feeds  # noqa: F401
 
 

@@ -202,6 +202,17 @@ def test_closures_of_a_long_chain_and_lone_commits(spark):
     assert ids(closure.depths(chain, [n - 1], most=3), "value") == [0, 1, 2, 3]
 
 
+def test_lines_are_contracted(spark):
+    """Beyond one task: a line of 2,000 commits in a few rounds, and random graphs with flags, as in one task."""
+    chain = spark.range(1, 2000).selectExpr("id as child", "id - 1 as parent", "0 as nth")
+    assert closure.reach(chain, [1999], small=20).count() == 2000
+    for seed in range(2):
+        edges = graph(spark, random_graph(seed, 50) | {100 + k: [99 + k] for k in range(1, 40)} | {100: [49]})
+        tips = spark.createDataFrame([(139, 1), (45, 2), (120, 4)], "oid long, value long")
+        want = ids(closure.carry(edges, tips), "oid", "value")
+        assert ids(closure.carry(edges, tips, small=5), "oid", "value") == want
+
+
 # renames
 
 
