@@ -26,9 +26,20 @@ LOWER[65:91] += 32
 AS_IS = np.arange(256, dtype=np.uint8)
 
 
+#: Rows that go to a Python worker at once while an intermediate is made; both sides hold a batch whole.
+BATCH_ROWS = 1024
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    return written(df, what)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    try:
+        return written(df, what)
+    finally:
+        conf.set(key, before)
 
 
 def open_fs(uri: str):

@@ -148,13 +148,17 @@ def max_count(spark, sf_dir):
     return commits(spark, sf_dir).select("oid", "commit_time").orderBy(F.desc("commit_time"), F.desc("oid")).limit(25)
 
 
-@query("k AS (SELECT path, path || CASE WHEN mode = 33261 THEN '/' ELSE '' END AS key FROM tree_a) SELECT path, row_number() OVER (ORDER BY key, path) AS pos FROM k ORDER BY pos LIMIT 200")
+@query("""n AS (SELECT DISTINCT split_part(path, '/', 1) AS name, 16384 AS mode FROM tree_a UNION ALL SELECT DISTINCT split_part(path, '/', 1) || '-f', 33188 FROM tree_a)
+SELECT name, mode, row_number() OVER (ORDER BY name || CASE WHEN mode = 16384 THEN '/' ELSE '' END) AS pos FROM n ORDER BY pos LIMIT 200""")
 def path_order(spark, sf_dir):
-    """Tree order, in which a directory sorts as if its name ended with a slash; the first 200."""
+    """Tree order, in which a folder sorts as if its name ended with a slash, so behind ``name-f``; the first 200."""
     _, ours, _ = trees(spark, sf_dir)
-    key = F.concat("path", F.when(F.col("mode") == 33261, "/").otherwise(""))
-    top = ours.select("path", key.alias("key")).orderBy("key", "path").limit(200)
-    return top.select("path", F.row_number().over(Window.orderBy("key", "path")).cast("long").alias("pos"))
+    name = F.split_part("path", F.lit("/"), F.lit(1))
+    folders = ours.select(name.alias("name")).distinct()
+    rows = folders.select("name", F.lit(16384).alias("mode")).unionByName(folders.select(F.concat("name", F.lit("-f")).alias("name"), F.lit(33188).alias("mode")))
+    key = F.concat("name", F.when(F.col("mode") == 16384, "/").otherwise(""))
+    top = rows.withColumn("key", key).orderBy("key").limit(200)
+    return top.select("name", "mode", F.row_number().over(Window.orderBy("key")).cast("long").alias("pos"))
 
 
 @query("SELECT split_part(path, '/', 1) AS folder, min(path) AS best FROM tree_a GROUP BY 1")

@@ -415,3 +415,14 @@ def repack_segments(spark, sf_dir):
     rows = commits(spark, sf_dir).select("oid", F.when(F.col("oid") % 2 == 0, 10**6).otherwise(0).alias("mtime"))
     found = segments(rows, reach(e, [a]), reach(e, [b]), rows.where("oid % 5 = 0"), 10**6 + 14 * 86400)
     return found.groupBy("segment").agg(F.count("*").alias("objects"))
+
+
+@query("""SELECT oid, unnest(CASE WHEN oid % 5 = 0 THEN ['no tree', 'no author', 'no committer'] WHEN oid % 7 = 0 THEN ['bad author'] ELSE [] END) AS problem FROM commits""")
+def object_rules(spark, sf_dir):
+    """Commit objects of which every fifth has a broken first header and every seventh a broken zone."""
+    from annals.functions.raw import raw_commits
+
+    rows = raw_commits(spark, sf_dir)
+    bad = F.when(F.col("oid") % 5 == 0, F.replace("raw", F.lit("tree "), F.lit("tee "))).when(F.col("oid") % 7 == 0, F.replace("raw", F.lit(" +0130"), F.lit(" +130"))).otherwise(F.col("raw"))
+    found = checks.checked(rows.select(F.col("oid").cast("string").alias("oid"), F.lit("commit").alias("type"), bad.cast("binary").alias("data")))
+    return found.select(F.col("oid").cast("long").alias("oid"), "problem")

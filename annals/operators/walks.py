@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annals.operators.logs import numbered
 from annals.plans.closure import carry, depths, generations, reach
 from annals.plans.history import commits, edges, refs, tags, tips
+from annals.plans.jump import ends
 from annals.registry import query
 
 
@@ -153,12 +155,15 @@ def describe(spark, sf_dir):
 kept AS (SELECT f.oid, pos FROM f JOIN touch ON f.oid = touch.oid WHERE hit)
 SELECT oid, lead(oid) OVER (ORDER BY pos) AS rewritten_parent FROM kept""")
 def rewrite_parents(spark, sf_dir):
-    """A first-parent history limited to one kind of commit, each with its nearest kept ancestor as parent."""
-    from pyspark.sql import Window
-
-    chain = depths(edges(spark, sf_dir).where("nth = 0"), [tips(spark, sf_dir)[0]])
-    kept = chain.join(commits(spark, sf_dir).where("message = 'purchase'").select("oid"), "oid")
-    return kept.select("oid", F.lead("oid").over(Window.orderBy("value")).alias("rewritten_parent"))
+    """A first-parent history limited to one kind of commit, each with its nearest kept ancestor as parent: chains of left-out commits end by pointer jumping."""
+    first = edges(spark, sf_dir).where("nth = 0")
+    chain = depths(first, [tips(spark, sf_dir)[0]]).select("oid")
+    wanted = commits(spark, sf_dir).where("message = 'purchase'").select("oid")
+    line = first.join(chain.select(F.col("oid").alias("child")), "child", "left_semi")
+    far = ends(line.join(wanted.select(F.col("oid").alias("child")), "child", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("to")))
+    kept = chain.join(wanted, "oid", "left_semi")
+    above = kept.join(line.select(F.col("child").alias("oid"), "parent"), "oid", "left").join(far.select(F.col("node").alias("parent"), "to"), "parent", "left").select("oid", F.coalesce("to", "parent").alias("to"))
+    return above.join(wanted.select(F.col("oid").alias("to"), F.lit(True).alias("fine")), "to", "left").select("oid", F.when(F.col("fine"), F.col("to")).alias("rewritten_parent"))
 
 
 @query("SELECT oid, commit_time FROM commits JOIN ra USING (oid) ORDER BY commit_time DESC, oid DESC LIMIT 50")
@@ -169,19 +174,20 @@ def commit_time_desc(spark, sf_dir):
 
 @query("SELECT * FROM (SELECT oid, commit_time FROM commits JOIN ra USING (oid) ORDER BY commit_time DESC, oid DESC OFFSET 20)")
 def skip_n(spark, sf_dir):
+    """All but the twenty newest: numbered by ranges, so that no task sees all rows."""
     found = reach(edges(spark, sf_dir), [tips(spark, sf_dir)[0]])
-    return commits(spark, sf_dir).join(found, "oid", "left_semi").orderBy(F.desc("commit_time"), F.desc("oid")).offset(20).select("oid", "commit_time")
+    mine = commits(spark, sf_dir).join(found, "oid", "left_semi").select("oid", "commit_time")
+    rest = numbered(mine.select("oid", F.struct((-F.unix_micros(F.col("commit_time").cast("timestamp"))).alias("t"), (-F.col("oid")).alias("o")).alias("key"))).where("pos > 20")
+    return mine.join(rest.select("oid"), "oid", "left_semi")
 
 
 @query("""g(oid, n) AS (SELECT oid, 1 FROM commits WHERE oid NOT IN (SELECT child FROM edges) UNION SELECT child, n + 1 FROM g JOIN edges ON parent = g.oid), gen AS (SELECT oid, max(n) AS n FROM g GROUP BY oid)
 SELECT oid, row_number() OVER (ORDER BY n DESC, oid DESC) AS pos FROM gen JOIN ra USING (oid)""")
 def topo_order(spark, sf_dir):
-    """Children before parents: by generation, then newest first."""
-    from pyspark.sql import Window
-
+    """Children before parents: by generation, then newest first; a distributed sort. The exact date order is ``topo_by_date``."""
     found = reach(edges(spark, sf_dir), [tips(spark, sf_dir)[0]])
     rows = generations(edges(spark, sf_dir), commits(spark, sf_dir)).join(found, "oid", "left_semi")
-    return rows.select("oid", F.row_number().over(Window.orderBy(F.desc("value"), F.desc("oid"))).cast("long").alias("pos"))
+    return numbered(rows.select("oid", F.struct((-F.col("value")).alias("g"), (-F.col("oid")).alias("o")).alias("key"))).select("oid", F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT DISTINCT b.oid, b.size FROM ra JOIN blobs b ON b.doc_id = ra.oid")
