@@ -109,11 +109,11 @@ def merge_bases(edges: DataFrame, starts: list[int]) -> DataFrame:
     return common.join(below, "oid", "left_anti")
 
 
-@query("""rc(oid) AS (SELECT CAST((a + 1) * 7 // 10 AS BIGINT) FROM tip UNION SELECT parent FROM rc JOIN edges ON child = rc.oid), common AS (SELECT oid FROM ra INTERSECT SELECT oid FROM rb INTERSECT SELECT oid FROM rc)
+@query("""rc(oid) AS (SELECT b - b % 17 FROM tip UNION SELECT parent FROM rc JOIN edges ON child = rc.oid), common AS (SELECT oid FROM ra INTERSECT SELECT oid FROM rb INTERSECT SELECT oid FROM rc)
 SELECT oid FROM common WHERE oid NOT IN (SELECT parent FROM edges WHERE child IN (SELECT oid FROM common))""")
 def merge_base_of_three(spark, sf_dir):
     a, b = tips(spark, sf_dir)
-    return merge_bases(edges(spark, sf_dir), [a, b, (a + 1) * 7 // 10])
+    return merge_bases(edges(spark, sf_dir), [a, b, b - b % 17])
 
 
 def assumed_shallow(edges: DataFrame, cut: DataFrame) -> DataFrame:
