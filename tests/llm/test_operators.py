@@ -228,6 +228,29 @@ def test_large_bucket_with_different_texts(spark):
     assert {r[0]: r[1:] for r in pairs(near_dedup.link(docs, 3, 85), "doc_id", "n_shingles", "component_id")} == truth
 
 
+def test_few_links_are_joined_in_a_few_jobs(spark, monkeypatch):
+    """However few the links, every round of joins costs the driver memory; both ways give the same components."""
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(i, i + 1) for i in range(1000, 1300)] + [(2000 + i, 3000) for i in range(300)] + [(-5, 7), (7, -5), (4000, 4000)]
+    top: dict = {}
+    for a, b in links:
+        if a != b:
+            both = top.setdefault(a, {a}) | top.setdefault(b, {b})
+            top.update(dict.fromkeys(both, both))
+    truth = sorted((x, min(group)) for x, group in top.items())
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        got = sorted(map(tuple, near_dedup.components(df).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == truth and jobs <= 8
+    assert near_dedup.components(df.limit(0)).count() == 0
+    monkeypatch.setattr("annals.llm.components.FEW", 10)
+    assert sorted(map(tuple, near_dedup.components(df).collect())) == truth
+
+
 def test_packed_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     common, own = rng.integers(0, 2**63, 900, dtype=np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)
