@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annals.plans.history import blobs, commits, reflog, refs, trees, urls
+from annals.plans.history import blob_oid, commits, reflog, refs, trees, urls
 from annals.plans.shared import shared_folder
 from annals.registry import query
 from annals.session import table
@@ -17,8 +17,7 @@ from annals.sources.files import each, open_fs, put
 
 def _contents(spark, sf_dir):
     data = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), F.coalesce("source", F.lit("")).alias("name"))
-    return docs.join(blobs(spark, sf_dir).select("doc_id", "oid"), "doc_id").select("doc_id", "oid", F.lit("blob").alias("type"), "data", "name")
+    return table(spark, sf_dir, "documents").select("doc_id", blob_oid(data, F.octet_length(data)).alias("oid"), F.lit("blob").alias("type"), data.alias("data"), F.coalesce("source", F.lit("")).alias("name"))
 
 
 def _packed(spark, sf_dir, condition="true"):

@@ -2,7 +2,8 @@
 
 A pack is read at scale by its index: rows (pack, oid, offset) are dealt by range of offsets, and each task reads the
 entries of its range and resolves chains of differences by reading the bases where they stand. A pack without an index is parsed from front to
-back, one task a pack. Packs are written one a task, from objects sorted so that likely bases come first.
+back, one task a pack. Packs are written one a task, from objects sorted so that likely bases come first and dealt by ranges of that order; their
+number grows with the bytes, so that no pack does.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ KIND_OF = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 NUMBER_OF = {v: k for k, v in KIND_OF.items()}
 BY_OFFSET, BY_ID = 6, 7
 WINDOW, DEEPEST, LEAST_DELTA, CACHE_BYTES = 10, 50, 64, 64 << 20
+PACK_BYTES = 16 << 20  # of contents for each pack, on average
+GRAIN, SLOTS = 16, 1 << 18
 
 
 def object_id(kind: str, data: bytes) -> str:
@@ -65,11 +68,38 @@ def _copy(start: int, size: int) -> bytes:
     return bytes([op]) + tail
 
 
-def make_delta(base: bytes, target: bytes, grain: int = 16) -> bytes:
-    """Instructions that make target from base: copies of common ranges, and new bytes between them."""
+def _marks(data: bytes, grain: int = GRAIN) -> np.ndarray:
+    """A number below SLOTS for each run of grain bytes (8 at least); equal runs have equal ones."""
+    n = len(data) - grain + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    mixed = (words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[grain - 8 : grain - 8 + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(46)).astype(np.int64)
+
+
+def _places(base: bytes, grain: int = GRAIN) -> dict[bytes, int]:
+    """Where each of the blocks of a base stands first."""
     places: dict[bytes, int] = {}
     for at in range(0, len(base) - grain + 1, grain):
         places.setdefault(base[at : at + grain], at)
+    return places
+
+
+def make_delta(base: bytes, target: bytes, grain: int = GRAIN, places: dict[bytes, int] | None = None, hits: list[int] | None = None) -> bytes:
+    """Instructions that make target from base: copies of common ranges, and new bytes between them.
+
+    places: the base's ``_places``; hits: positions of target in order, all where one of the base's blocks starts among them.
+    """
+    if places is None:
+        places = _places(base, grain)
+    if hits is None:
+        if grain < 8:
+            hits = range(len(target) - grain + 1)
+        else:
+            there = np.zeros(SLOTS, bool)
+            there[_marks(base, grain)[::grain]] = True
+            hits = np.flatnonzero(there[_marks(target, grain)]).tolist()
     out = [_number(len(base)), _number(len(target))]
 
     def insert(data: bytes):
@@ -77,11 +107,12 @@ def make_delta(base: bytes, target: bytes, grain: int = 16) -> bytes:
             part = data[k : k + 127]
             out.append(bytes([len(part)]) + part)
 
-    at = fresh = 0
-    while at <= len(target) - grain:
+    fresh = 0
+    for at in hits:
+        if at < fresh:
+            continue
         start = places.get(target[at : at + grain])
         if start is None:
-            at += 1
             continue
         back = 0
         while at - back > fresh and start > back and target[at - back - 1] == base[start - back - 1]:
@@ -94,12 +125,52 @@ def make_delta(base: bytes, target: bytes, grain: int = 16) -> bytes:
         insert(target[fresh : at - back])
         for k in range(-back, size, 0x10000):
             out.append(_copy(start + k, min(0x10000, size - k)))
-        at += size
-        fresh = at
+        fresh = at + size
     insert(target[fresh:])
     return b"".join(out)
 
 
+class Bases:
+    """The last WINDOW objects as bases. Their blocks are marked in one table, a bit a base, so that one look at a target tells where it may meet which of them."""
+
+    def __init__(self):
+        self.table, self.held, self.next = np.zeros(SLOTS, np.uint16), [None] * WINDOW, 0
+
+    def add(self, oid: str, kind: str, data: bytes, depth: int, marks: np.ndarray | None = None):
+        k, self.next = self.next, (self.next + 1) % WINDOW
+        bit, blocks = np.uint16(1 << k), (_marks(data) if marks is None else marks)[::GRAIN].copy()
+        if self.held[k] is not None:
+            self.table[self.held[k][4]] &= ~bit
+        self.table[blocks] |= bit
+        self.held[k] = [oid, kind, data, depth, blocks, None]
+
+    def best(self, kind: str, data: bytes, marks: np.ndarray) -> tuple[str, bytes, int] | None:
+        """(base, difference, differences on the way) of the smallest difference of under half the size, from the latest base among equals.
+
+        A range copied with k whole blocks of the base in it has 16 k + 30 bytes at most and k hits, so 46 bytes a hit bound what is
+        copied; bases that can't do better by this are left out without being tried.
+        """
+        found = self.table[marks]
+        hits = np.flatnonzero(found)
+        if not len(hits):
+            return None
+        found, best, limit = found[hits], None, len(data) // 2
+        for n in range(1, WINDOW + 1):
+            k = (self.next - n) % WINDOW
+            base = self.held[k]
+            if base is None or base[1] != kind or base[3] >= DEEPEST or len(base[2]) >= 8 * len(data):
+                continue
+            mine = hits[(found & np.uint16(1 << k)) != 0]
+            if len(data) - 46 * len(mine) >= limit:
+                continue
+            if base[5] is None:
+                base[5] = _places(base[2])
+            delta = make_delta(base[2], data, places=base[5], hits=mine.tolist())
+            if len(delta) < limit:
+                best, limit = (base[0], delta, base[3] + 1), len(delta)
+        return best
+
+
 def delta_sizes(delta: bytes) -> tuple[int, int]:
     """(size of the base, size of the result)."""
     a, at = _read_number(delta, 0)
@@ -416,32 +487,30 @@ MANIFEST = "pack string, objects long, deltas long, bytes long"
 def write_packs(objects: DataFrame, folder: str, packs: int = 8) -> DataFrame:
     """Packs of objects (oid, type, data, name), each object once; (pack, objects, deltas, bytes), a row a pack.
 
-    Objects of one type and name go to one pack and are sorted by size, largest first; a base is sought among the last WINDOW.
+    Objects are sorted by type, name and size, largest first, and dealt by ranges of that order to as many packs as asked for, or more: one
+    for each PACK_BYTES. A base is sought among the last WINDOW of the pack.
     """
+    total = objects.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
+    packs = max(packs, -(-total // PACK_BYTES))
     once = objects.groupBy("oid").agg(F.min(F.struct("type", "name", "data")).alias("o")).select("oid", "o.type", "o.name", "o.data")
-    rows = once.repartition(packs, "type", "name").sortWithinPartitions("type", "name", F.desc(F.length("data")), "oid").select("oid", "type", "data")
+    order = ("type", "name", F.desc(F.length("data")), "oid")
+    rows = once.repartitionByRange(packs, *order).sortWithinPartitions(*order).select("oid", "type", "data")
 
     def run(it):
         fs, root = open_fs(folder)
         mine = f"{root}/{attempt_name()}"
-        near: list[tuple[str, str, bytes, int]] = []
-        deltas, writer = 0, None
+        near, deltas, writer = Bases(), 0, None
         for big in it:
             for at in range(0, big.num_rows, 64):
                 for oid, kind, data in zip(*(big.slice(at, 64).column(c).to_pylist() for c in ("oid", "type", "data"))):
                     if writer is None:
                         fs.create_dir(root, recursive=True)
                         writer = PackWriter(fs.open_output_stream(f"{mine}.entries"))
-                    best, depth = None, 0
-                    if len(data) >= LEAST_DELTA:
-                        for other, other_kind, other_data, d in reversed(near):
-                            if other_kind == kind and d < DEEPEST and len(other_data) < 8 * len(data):
-                                delta = make_delta(other_data, data)
-                                if len(delta) < (len(best[1]) if best else len(data) // 2):
-                                    best, depth = (other, delta), d + 1
-                    writer.add(oid, kind, data, *(best or ()))
+                    marks = _marks(data)
+                    best = near.best(kind, data, marks) if len(data) >= LEAST_DELTA else None
+                    writer.add(oid, kind, data, *(best[:2] if best else ()))
                     deltas += best is not None
-                    near = [*near, (oid, kind, data, depth)][-WINDOW:]
+                    near.add(oid, kind, data, best[2] if best else 0, marks)
         if writer is None:
             return
         writer.out.close()
