@@ -593,7 +593,8 @@ def parse_packs(spark: SparkSession, folder: str, write_index: bool = False) ->
             put(fs, where.removesuffix(".pack") + ".idx", index_bytes([r[:3] for r in found], mark))
         return [(name, *r, None) for r in found]
 
-    return each(paths.repartition("path"), work, "pack string, oid string, offset long, crc long, type string, size long, problem string", 1)
+    # a range for each path: dealt by hash, the few short rows would be put together again, and one task would parse all
+    return each(paths.repartitionByRange(max(1, paths.count()), "path"), work, "pack string, oid string, offset long, crc long, type string, size long, problem string", 1)
 
 
 def one_store(index: DataFrame) -> DataFrame:
