@@ -609,11 +609,11 @@ def multi_index_bytes(packs: list[str], rows: list[tuple[str, int, int]]) -> byt
     fan = np.bincount([int(o[:2], 16) for o, _, _ in rows], minlength=256).cumsum().astype(">u4").tobytes()
     chunks = [(b"PNAM", names), (b"OIDF", fan), (b"OIDL", b"".join(bytes.fromhex(o) for o, _, _ in rows))]
     far = [at for _, _, at in rows if at >= 1 << 31]
-    places, n = b"", 0
+    places, n = [], 0
     for _, p, at in rows:
-        places += struct.pack(">II", p, at if at < 1 << 31 else 1 << 31 | n)
+        places.append(struct.pack(">II", p, at if at < 1 << 31 else 1 << 31 | n))
         n += at >= 1 << 31
-    chunks.append((b"OOFF", places))
+    chunks.append((b"OOFF", b"".join(places)))
     if far:
         chunks.append((b"LOFF", np.array(far, ">u8").tobytes()))
     return chunked(b"MIDX" + bytes([1, 1, len(chunks), 0]) + struct.pack(">I", len(packs)), chunks)
