@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +10,43 @@ from annals.plans.history import trees
 from annals.plans.shared import written
 from annals.registry import query
 from annals.sources import staging
-from annals.sources.files import each
 
 FOLDER = staging.FOLDER
 
 
+def _parsed(it):
+    """(tree, name, mode, oid) of rows (oid, data); as many rows at once as make some thousand entries."""
+    out = ([], [], [], [])
+
+    def flush():
+        batch = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["tree", "name", "mode", "oid"])
+        for column in out:
+            column.clear()
+        return batch
+
+    for batch in it:
+        for tree, data in zip(batch.column("oid"), batch.column("data")):
+            tree = tree.as_py()
+            for name, mode, oid in staging.read_tree(data.as_py()):
+                out[0].append(tree)
+                out[1].append(name.decode("utf-8", "replace"))
+                out[2].append(mode)
+                out[3].append(oid)
+            if len(out[0]) >= 10_000:
+                yield flush()
+    yield flush()
+
+
 def entries_of(objects: DataFrame) -> DataFrame:
-    """(tree, name, mode, oid) of tree objects (oid, data), each tree once."""
-    return each(objects.select("oid", "data").dropDuplicates(["oid"]), lambda oid, data: [(oid, n.decode("utf-8", "replace"), m, o) for n, m, o in staging.read_tree(data)], "tree string, name string, mode int, oid string")
+    """(tree, name, mode, oid) of tree objects (oid, data), each tree once; with a column part also of those in several rows, as ``trees_of`` makes them."""
+    schema = "tree string, name string, mode int, oid string"
+    if "part" not in objects.columns:
+        return objects.select("oid", "data").dropDuplicates(["oid"]).mapInArrow(_parsed, schema)
+    whole, rest = objects.where("part = 0").select("oid", "data"), objects.where("part <> 0").select("oid", "data")
+    # a tree may have been made twice, with other parts or once whole; there are few trees in parts
+    known = whole.select("oid").join(F.broadcast(rest.select("oid").distinct()), "oid", "left_semi").distinct()
+    parts = rest.join(F.broadcast(known), "oid", "left_anti").mapInArrow(_parsed, schema).dropDuplicates(["tree", "name"])
+    return whole.dropDuplicates(["oid"]).mapInArrow(_parsed, schema).unionByName(parts)
 
 
 def diff(entries: DataFrame, old: str | None, new: str | None) -> DataFrame:

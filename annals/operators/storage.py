@@ -163,7 +163,8 @@ def staging_subtree(spark, sf_dir):
 def tree_objects(spark, sf_dir):
     """Tree objects made bottom up from entries; each read back for its entries."""
     made = staging.trees_of(trees(spark, sf_dir)[0].withColumn("oid", F.concat("oid", F.lit("0" * 8))))
-    return each(made.select("folder", "data"), lambda folder, data: [(folder, len(staging.read_tree(data)))], "folder string, entries long")
+    read = each(made.select("folder", "data"), lambda folder, data: [(folder, len(staging.read_tree(data)))], "folder string, entries long", 1024)
+    return read.groupBy("folder").agg(F.sum("entries").alias("entries"))
 
 
 @query("""p AS (SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM base_tree GROUP BY 1)

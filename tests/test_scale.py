@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from annals.sources import packs
+from annals.operators import levels
+from annals.sources import packs, staging
+from tests.test_formats import oid
 
 
 def test_packs_are_bounded_whatever_the_names(spark, tmp_path, monkeypatch):
@@ -40,3 +42,24 @@ def test_bases_are_those_of_trying_all():
         near = [*near, (str(k), data, got[2] if got else 0)][-packs.WINDOW :]
         made += got is not None
     assert 20 < made < 400
+
+
+def test_a_tree_in_parts_is_the_tree(spark):
+    """A folder of more than a row's bytes is dealt to many tasks, has the id of the whole object, and its entries are read once each."""
+    rows = [(f"f{i:04d}", 33188, oid(i)) for i in range(500)] + [(f"d{i:03d}/x{k}", 33261, oid(i % 50)) for i in range(300) for k in range(3)] + [(f"big/{i}", 33188, oid(i)) for i in range(400)]
+    made = [staging.trees_of(spark.createDataFrame(r, "path string, mode int, oid string").repartition(3), 1000) for r in (rows, rows[::-1] + [("more", 33188, oid(1))])]
+    for got, extra in zip(made, ([], [("more", 33188, oid(1))])):
+        found: dict = {}
+        for r in sorted(got.collect(), key=lambda r: r.part):
+            assert len(r.data) <= 1100
+            found.setdefault((r.folder, r.oid), []).append(bytes(r.data))
+        trees = {f: (o, b"".join(d)) for (f, o), d in found.items()}
+        assert len(trees) == len(found) == 302 and all(staging.tree_id(d) == o for o, d in trees.values())
+        assert trees["big"][1] == staging.tree_bytes([(str(i).encode(), 33188, oid(i)) for i in range(400)])
+        top = [(p.encode(), m, o) for p, m, o in rows + extra if "/" not in p] + [(f.encode(), staging.FOLDER, o) for f, (o, _) in trees.items() if f]
+        assert trees[""][1] == staging.tree_bytes(top)
+    entries = levels.entries_of(made[0].unionByName(made[1]))
+    roots = [m.where("folder = ''").first().oid for m in made]
+    assert entries.count() == entries.dropDuplicates(["tree", "name"]).count()
+    assert sorted(r.path for r in levels.walk(entries, roots[0]).collect()) == sorted(p for p, _, _ in rows)
+    assert [r.path for r in levels.diff(entries, *roots).collect()] == ["more"]
