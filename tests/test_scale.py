@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from annals.operators import levels
+from annals.plans.closure import carry, depths, generations
+from annals.plans.shared import written
 from annals.sources import packs, staging
 from tests.test_formats import oid
 
@@ -63,3 +67,31 @@ def test_a_tree_in_parts_is_the_tree(spark):
     assert entries.count() == entries.dropDuplicates(["tree", "name"]).count()
     assert sorted(r.path for r in levels.walk(entries, roots[0]).collect()) == sorted(p for p, _, _ in rows)
     assert [r.path for r in levels.diff(entries, *roots).collect()] == ["more"]
+
+
+@pytest.mark.parametrize("flipped", [False, True])
+def test_closures_by_blocks_are_those_of_one_task(spark, flipped):
+    """Several blocks, with edges to lower ids and to both sides; parts reached only through other blocks, a cycle for generations."""
+    r = random.Random(6)
+    pairs = [(c, p) for c in range(1, 200) for p in sorted(r.sample(range(max(0, c - 25), c), min(c, r.choice((1, 1, 2)))))]
+    name = (lambda k: k * 89 % 200) if flipped else (lambda k: k)  # ids that don't follow the history
+    edges = written(spark.createDataFrame([(name(c), name(p), 0) for c, p in pairs], "child long, parent long, nth int"), "edges")
+    tips = spark.createDataFrame([(name(199), 1), (name(120), 2), (name(60), 4)], "oid long, value long")
+    nodes = spark.range(210).withColumnRenamed("id", "oid")
+    cyclic = edges.unionByName(spark.createDataFrame([(name(50), name(150), 0)], edges.schema)).unionByName(spark.createDataFrame([(name(150), name(50), 0)], edges.schema))
+    for f in (
+        lambda **how: carry(edges, tips, **how),
+        lambda **how: depths(edges, [name(199), name(60)], **how),
+        lambda **how: depths(edges, [name(199)], most=5, **how),
+        lambda **how: generations(edges, nodes, **how),
+        lambda **how: generations(cyclic, nodes, **how),
+    ):
+        assert sorted(map(tuple, f(small=0, block=100).collect())) == sorted(map(tuple, f(small=10**6).collect()))
+
+
+def test_a_line_of_blocks_takes_a_round_a_block(spark):
+    """A history of many levels is walked in few jobs where ids follow it."""
+    chain = spark.range(1, 3000).selectExpr("id as child", "id - 1 as parent", "0 as nth")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert generations(chain, spark.range(3000).withColumnRenamed("id", "oid"), small=0, block=1000).agg({"value": "max"}).first()[0] == 3000
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 60
