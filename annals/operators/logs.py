@@ -6,10 +6,12 @@ import heapq
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annals.plans.blocks import BLOCK, NEWS, STATE, Blocks
 from annals.plans.closure import SMALL, carry, depths, generations, reach
 from annals.plans.history import commits, edges, tags, tips
 from annals.plans.jump import ends
@@ -288,11 +290,49 @@ def name_all(edges: list[tuple[int, int, int]], refs: list[tuple[int, str]]) ->
     return out
 
 
-def name_rev(edges: DataFrame, refs: DataFrame, small: int = SMALL) -> DataFrame:
+def _named(part):
+    """A block's cheapest names from what it had and what came in: (cost, rank, base, steps) of each vertex, and the names it gives beyond."""
+    best: dict[int, tuple[int, str, str, int]] = {}
+    rows = lambda kind: zip(part.of(kind)[0].tolist(), *(part.rows[kind].column(c).to_pylist() for c in ("v", "r", "s", "w")))
+    for k, *found in rows(STATE):
+        best[k] = tuple(found)
+    heap = [(tuple(found), k) for k, *found in rows(NEWS) if k not in best or tuple(found) < best[k]]
+    heapq.heapify(heap)
+    better = set()
+    starts, inner, nths = part.starts.tolist(), part.to.tolist(), part.value.tolist()
+    while heap:
+        found, k = heapq.heappop(heap)
+        if k in best and best[k] <= found:
+            continue
+        best[k] = found
+        better.add(k)
+        for e in range(starts[k], starts[k + 1]):
+            p, to = inner[e], _named_parent(found, nths[e])
+            if p not in best or to < best[p]:
+                heapq.heappush(heap, (to, p))
+    news: dict[int, tuple[int, str, str, int]] = {}
+    source, to, nth = part.out
+    mine = np.isin(source, np.fromiter(better, np.int64, len(better)))
+    for k, p, n in zip(source[mine].tolist(), to[mine].tolist(), nth[mine].tolist()):
+        found = _named_parent(best[k], n)
+        if p not in news or found < news[p]:
+            news[p] = found
+    columns = lambda ids, found: {"a": ids, **{c: [f[i] for f in found] for i, c in enumerate(("v", "r", "s", "w"))}}
+    return columns(part.ids[list(best)] if best else [], list(best.values())), columns(list(news), list(news.values()))
+
+
+def _named_parent(found: tuple[int, str, str, int], nth: int) -> tuple[int, str, str, int]:
+    cost, rank, base, steps = found
+    if not nth:
+        return cost + 1, rank, base, steps + 1
+    return cost + 65535, rank, f"{base}~{steps}^{nth + 1}" if steps else f"{base}^{nth + 1}", 0
+
+
+def name_rev(edges: DataFrame, refs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(oid, cost, name) of all commits that refs (name, oid) reach.
 
-    Up to ``small`` edges and refs (counted) one task finds cheapest ways by a heap. Beyond, a round of relaxation a level: each
-    commit keeps its cheapest name, and only commits whose name improved go on.
+    Up to ``small`` edges and refs (counted) one task finds cheapest ways by a heap. Beyond, blocks of edges do so, a task each, and only
+    commits whose name improved pass it on.
     """
     if max(edges.count(), refs.count()) <= small:
         rows = edges.select("child", "parent", F.col("nth").cast("long"), F.lit(None).cast("string").alias("name"))
@@ -304,21 +344,9 @@ def name_rev(edges: DataFrame, refs: DataFrame, small: int = SMALL) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.int64()), pa.array([c for c, _ in named.values()], pa.int64()), pa.array([n for _, n in named.values()], pa.string())], names=["oid", "cost", "name"])
 
         return rows.repartition(1).mapInArrow(run, "oid long, cost long, name string")
-    keep = F.min(F.struct("cost", "rank", "base", "steps")).alias("n")
-    start = refs.select("oid", F.lit(0).cast("long").alias("cost"), F.col("name").alias("rank"), F.col("name").alias("base"), F.lit(0).cast("long").alias("steps"))
-    known = front = written(start.groupBy("oid").agg(keep), "names")
-    while not front.isEmpty():
-        shown = F.when(F.col("n.steps") == 0, F.col("n.base")).otherwise(F.concat("n.base", F.lit("~"), F.col("n.steps").cast("string")))
-        out = front.join(edges, F.col("oid") == F.col("child")).select(
-            F.col("parent").alias("oid"), (F.col("n.cost") + F.when(F.col("nth") == 0, 1).otherwise(65535)).alias("cost"), F.col("n.rank").alias("rank"),
-            F.when(F.col("nth") == 0, F.col("n.base")).otherwise(F.concat(shown, F.lit("^"), (F.col("nth") + 1).cast("string"))).alias("base"), F.when(F.col("nth") == 0, F.col("n.steps") + 1).otherwise(0).alias("steps"),
-        )
-        best = out.groupBy("oid").agg(keep)
-        old = known.select("oid", F.col("n").alias("o"))
-        front = written(best.join(old, "oid", "left").where("o is null or n < o").select("oid", "n"), "names")
-        known = written(known.unionByName(front).groupBy("oid").agg(F.min("n").alias("n")), "names")
-    name = F.when(F.col("n.steps") == 0, F.col("n.base")).otherwise(F.concat("n.base", F.lit("~"), F.col("n.steps").cast("string")))
-    return known.select("oid", F.col("n.cost").alias("cost"), name.alias("name"))
+    blocks = Blocks(edges.select(F.col("child").cast("long").alias("a"), F.col("parent").cast("long").alias("b"), F.col("nth").cast("long").alias("v")), block)
+    found = blocks.run(refs.select(F.col("oid").cast("long").alias("a"), F.lit(0).alias("v"), F.lit(0).alias("w"), F.col("name").alias("s"), F.col("name").alias("r")), _named)
+    return found.select(F.col("a").alias("oid"), F.col("v").alias("cost"), F.when(F.col("w") == 0, F.col("s")).otherwise(F.concat("s", F.lit("~"), F.col("w").cast("string"))).alias("name"))
 
 
 @query("""c AS (SELECT oid, name FROM (SELECT max(oid) - 40 AS low FROM commits), refs WHERE name LIKE 'refs/heads/%' AND refs.oid >= low), n(oid, cost) AS (SELECT oid, 0 FROM c UNION SELECT parent, cost + CASE WHEN nth = 0 THEN 1 ELSE 65535 END FROM n JOIN edges ON child = n.oid WHERE cost < 131070)

@@ -6,11 +6,12 @@ import random
 
 import pytest
 
-from annals.operators import levels
+from annals.operators import levels, logs
 from annals.plans.closure import carry, depths, generations
 from annals.plans.shared import written
 from annals.sources import packs, staging
 from tests.test_formats import oid
+from tests.test_history import graph, ids, random_graph
 
 
 def test_packs_are_bounded_whatever_the_names(spark, tmp_path, monkeypatch):
@@ -95,3 +96,18 @@ def test_a_line_of_blocks_takes_a_round_a_block(spark):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     assert generations(chain, spark.range(3000).withColumnRenamed("id", "oid"), small=0, block=1000).agg({"value": "max"}).first()[0] == 3000
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 60
+
+
+def test_names_by_blocks_are_those_of_the_heap(spark):
+    rows = random_graph(3, 60)
+    edges, refs = written(graph(spark, rows), "edges"), spark.createDataFrame([("main", 59), ("old", 30)], "name string, oid long")
+    costs = lambda **how: ids(logs.name_rev(edges, refs, **how), "oid", "cost")
+    assert costs(small=0, block=30) == costs(small=10**6)
+    assert ids(logs.name_rev(edges, refs, small=0, block=30), "oid", "name") == ids(logs.name_rev(edges, refs, small=0), "oid", "name")
+
+
+def test_staging_indexes_are_bounded(spark, tmp_path):
+    rows = [(f"d{i % 7}/f{i:04d}", 33188, oid(i)) for i in range(1000)]
+    made = staging.write(spark.createDataFrame(rows, "path string, mode int, oid string"), str(tmp_path), 2, most=100).collect()
+    assert len(made) >= 10 and max(r.entries for r in made) <= 200
+    assert sorted(map(tuple, staging.read(spark, str(tmp_path)).select("path", "mode", "oid").collect())) == sorted(rows)
