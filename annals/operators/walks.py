@@ -8,6 +8,7 @@ from annals.operators.logs import numbered
 from annals.plans.closure import carry, depths, generations, reach
 from annals.plans.history import commits, edges, refs, tags, tips
 from annals.plans.jump import ends
+from annals.plans.shared import written
 from annals.registry import query
 
 
@@ -220,13 +221,13 @@ def parse_revision(text: str) -> tuple[str, list[tuple[str, int]]]:
     return m[1], [(k, int(n) if n else 1) for k, n in re.findall(r"([~^])(\d*)", m[2])]
 
 
-def resolve(spark, sf_dir, text: str):
-    """(oid) of a revision, no row where a step has no parent; one small job for each step."""
+def resolve(spark, sf_dir, text: str, known=None):
+    """(oid) of a revision, no row where a step has no parent; one small job for each step. known: the edges, if they are at hand."""
     name, steps = parse_revision(text)
     places = [name, f"refs/{name}", f"refs/tags/{name}", f"refs/heads/{name}", f"refs/remotes/{name}"]
     rank = F.array_position(F.array(*map(F.lit, places)), F.col("name"))
     at = refs(spark, sf_dir).where(F.col("name").isin(places)).orderBy(rank).limit(1).select("oid")
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir) if known is None else known
     for kind, n in steps:
         if not n:
             continue
@@ -236,15 +237,15 @@ def resolve(spark, sf_dir, text: str):
             row = at.first()
             if row is None:
                 return at
-            at = depths(e.where("nth = 0"), [row.oid]).where(F.col("value") == n).select("oid")
+            at = depths(e.where("nth = 0"), [row.oid], most=n).where(F.col("value") == n).select("oid")
     return at
 
 
 @query("""heads AS (SELECT name, oid FROM refs WHERE name IN ('refs/heads/u7', 'refs/heads/u3')), p1 AS (SELECT name, parent AS oid FROM heads JOIN edges ON child = oid AND nth = 0), p2 AS (SELECT name, parent AS oid FROM p1 JOIN edges ON child = oid AND nth = 0)
 SELECT 'u7' AS revision, oid FROM heads WHERE name = 'refs/heads/u7' UNION ALL SELECT 'heads/u7~2', oid FROM p2 WHERE name = 'refs/heads/u7' UNION ALL SELECT 'u3^', oid FROM p1 WHERE name = 'refs/heads/u3'""")
 def rev_parse(spark, sf_dir):
-    out = None
+    out, e = None, written(edges(spark, sf_dir), "edges")
     for text in ("u7", "heads/u7~2", "u3^"):
-        one = resolve(spark, sf_dir, text).select(F.lit(text).alias("revision"), "oid")
+        one = resolve(spark, sf_dir, text, e).select(F.lit(text).alias("revision"), "oid")
         out = one if out is None else out.unionByName(one)
     return out
