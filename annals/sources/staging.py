@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annals.plans.shared import written
-from annals.sources.files import each, open_fs, put
+from annals.sources.files import open_fs, put
 
 ENTRY = "path string, mode int, oid string, stage int, size long, mtime long, assume_valid boolean, skip_worktree boolean, intent_to_add boolean"
 
@@ -109,13 +109,29 @@ def _row(e: Entry):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of the index files below a path, with their file."""
+    """The entries of the index files below a path, with their file; one file's entries, and some thousand of its rows, are in memory at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return each(files, lambda file, data: [(file, *_row(e)) for e in decode(data)], f"file string, {ENTRY}", 1)
+    names = ["file", *(x.split()[0] for x in ENTRY.split(", "))]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+
+    def run(it):
+        for batch in it:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                entries = decode(content.as_py())
+                for at in range(0, len(entries), 10_000):
+                    rows = [(file, *_row(e)) for e in entries[at : at + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
+
+    return files.mapInArrow(run, f"file string, {ENTRY}")
+
+
+FILE_ENTRIES = 100_000
 
 
-def write(entries: DataFrame, folder: str, files: int = 1) -> DataFrame:
-    """Index files of entries (path, mode, oid), dealt by ranges of paths; (file, entries)."""
+def write(entries: DataFrame, folder: str, files: int = 1, most: int = FILE_ENTRIES) -> DataFrame:
+    """Index files of entries (path, mode, oid), dealt by ranges of paths: as many as asked for, or more, one for each ``most`` entries; (file, entries)."""
+    rows = written(entries.select("path", "mode", "oid"), "entries")
+    files = max(files, -(-rows.count() // most))
 
     def run(it):
         from pyspark import TaskContext
@@ -127,7 +143,7 @@ def write(entries: DataFrame, folder: str, files: int = 1) -> DataFrame:
             put(fs, f"{root}/{name}", encode(rows))
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], names=["file", "entries"])
 
-    return entries.select("path", "mode", "oid").repartitionByRange(files, "path").mapInArrow(run, "file string, entries long")
+    return rows.repartitionByRange(files, "path").mapInArrow(run, "file string, entries long")
 
 
 def subtree(entries: DataFrame, folder: str) -> DataFrame:
